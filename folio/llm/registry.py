@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from folio.llm import bpe, mixing, packing, splitting
+from folio.llm import bpe, mixing, packing, splitting, truncation
 
 
 def queries():
     return {
+        "p2_found": truncation.p2_found,
+        "p2_rates": truncation.p2_rates,
         "p3_found": splitting.p3_found,
         "p3_pieces": splitting.p3_pieces,
         "p4_found": packing.p4_found,
