@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folio.llm import bpe, mixing, packing, splitting, truncation
+from folio.llm import bpe, mixing, packing, residue, splitting, truncation
 
 
 def queries():
@@ -14,6 +14,8 @@ def queries():
         "p4_found": packing.p4_found,
         "p4_containers": packing.p4_containers,
         "p4_fill": packing.p4_fill,
+        "p5_found": residue.p5_found,
+        "p5_clean": residue.p5_clean,
         "p6_ids": bpe.p6_ids,
         "p7_mix": mixing.p7_mix,
         "p7_shares": mixing.p7_shares,
