@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from folio.llm import bpe, mixing, packing, residue, splitting, truncation
+from folio.llm import bpe, encoding, mixing, packing, residue, splitting, truncation
 
 
 def queries():
@@ -17,6 +17,8 @@ def queries():
         "p5_found": residue.p5_found,
         "p5_clean": residue.p5_clean,
         "p6_ids": bpe.p6_ids,
+        "p8_found": encoding.p8_found,
+        "p8_restored": encoding.p8_restored,
         "p7_mix": mixing.p7_mix,
         "p7_shares": mixing.p7_shares,
     }
