@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from folio.llm import bpe, encoding, mixing, packing, residue, splitting, truncation
+from folio.llm import bpe, encoding, mixing, packing, residue, scan_noise, splitting, truncation
 
 
 def queries():
     return {
+        "p1_found": scan_noise.p1_found,
+        "p1_paragraphs": scan_noise.p1_paragraphs,
         "p2_found": truncation.p2_found,
         "p2_rates": truncation.p2_rates,
         "p3_found": splitting.p3_found,
