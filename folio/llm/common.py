@@ -61,8 +61,9 @@ def with_lookup(
     broadcast it is made once in a worker.
     """
     spark = df.sparkSession
+    lookup = cut(lookup.select("key", "value"))  # measured and read: computed once
     if size_checked(lookup, limit):
-        table = spark.sparkContext.broadcast({k: v for k, v in lookup.select("key", "value").toLocalIterator(True)})
+        table = spark.sparkContext.broadcast(dict(map(tuple, lookup.toLocalIterator(True))))
 
         def broadcasted(batches):
             found = state(table.value) if state else table.value
@@ -80,7 +81,7 @@ def with_lookup(
 
     value = lookup.schema["value"].dataType
     pairs = T.ArrayType(T.StructType([T.StructField("key", T.StringType()), T.StructField("value", value)]))
-    parts = map_rows(keyed, keys, "__row long, key string").join(lookup.select("key", "value"), "key").groupBy("__row").agg(F.collect_list(F.struct("key", "value")).alias("__found"))
+    parts = map_rows(keyed, keys, "__row long, key string").join(lookup, "key").groupBy("__row").agg(F.collect_list(F.struct("key", "value")).alias("__found"))
     joined = keyed.join(parts, "__row", "left").withColumn("__found", F.coalesce("__found", F.array().cast(pairs)))
 
     def local(batches):
