@@ -50,12 +50,17 @@ def decode_pdf_string(b: Column | str) -> Column:
 
 
 def _window_sane(w: Column) -> Column:
-    readable = F.length(F.regexp_replace(w, UNREADABLE, ""))
-    low = F.lower(w)
-    kinds = sum((F.when(F.contains(low, F.lit(p)), 1).otherwise(0) for p in STOP_PATTERNS), F.lit(0))
-    tokens = F.filter(F.split(w, SPACE), lambda x: x != "")
-    single = F.size(F.filter(tokens, lambda x: F.octet_length(x) == 1))
-    return (readable > READABLE_SHARE * F.octet_length(w)) & (kinds >= STOP_KINDS) & (single <= SINGLE_SHARE * F.size(tokens))
+    def sane(x: Column) -> Column:
+        low = F.lower(x)
+        kinds = sum((F.when(F.contains(low, F.lit(p)), 1).otherwise(0) for p in STOP_PATTERNS), F.lit(0))
+        readable = F.length(F.regexp_replace(x, UNREADABLE, ""))
+        tokens = F.filter(F.split(x, SPACE), lambda y: y != "")
+        single = F.size(F.filter(tokens, lambda y: F.octet_length(y) == 1))
+        # the cheapest test first: what fails it is looked at no further
+        return (kinds >= STOP_KINDS) & (readable > READABLE_SHARE * F.octet_length(x)) & (single <= SINGLE_SHARE * F.size(tokens))
+
+    # bound to a variable, so the window is worked out once
+    return F.exists(F.array(w), sane)
 
 
 def windows(c: Column | str) -> list[Column]:
@@ -72,6 +77,11 @@ def looks_sane(c: Column | str) -> Column:
     return (F.length(col(c)) < SHORT_CHARS) | (_window_sane(a) & _window_sane(b) & _window_sane(d))
 
 
+def sane_windows(n: Column, a: Column, b: Column, d: Column) -> Column:
+    """The same of windows already cut, n being the length of the text."""
+    return (n < SHORT_CHARS) | (_window_sane(a) & _window_sane(b) & _window_sane(d))
+
+
 GRAPHIC = "".join(map(chr, range(0x21, 0x7F)))
 
 

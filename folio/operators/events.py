@@ -79,7 +79,7 @@ def stalls(samples: DataFrame, run: str, ts: str, size: str, seconds: float) ->
     w = W.partitionBy(run).orderBy(ts)
     changed = samples.withColumn("__c", F.lag(size).over(w).isNull() | (F.lag(size).over(w) != F.col(size)))
     since = F.last(F.when(F.col("__c"), F.col(ts)), ignorenulls=True).over(w.rowsBetween(W.unboundedPreceding, 0))
-    quiet = F.unix_micros(ts) - F.unix_micros(since)
+    quiet = F.unix_micros(F.col(ts).cast("timestamp")) - F.unix_micros(since.cast("timestamp"))
     return changed.withColumn("quiet_us", quiet).where(F.col("quiet_us") >= int(seconds * 1e6)).select(run, ts, "quiet_us")
 
 

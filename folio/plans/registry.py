@@ -2,14 +2,18 @@
 
 from __future__ import annotations
 
+from folio.plans import extension_queries, score_queries, text_queries  # noqa: F401
+from folio.plans.catalog import QUERIES, SQL
+
 
 def entry(spark, sf_dir):
-    raise NotImplementedError
+    """The flagship: score history to the winner of each category."""
+    return QUERIES["entry_consensus"](spark, sf_dir)
 
 
 def queries():
-    return {}
+    return dict(QUERIES)
 
 
 def oracle_sql():
-    return {}
+    return dict(SQL)

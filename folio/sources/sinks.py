@@ -41,7 +41,7 @@ def event_line(event: str, fields: dict[str, Column]) -> Column:
 
 def download_percent(written: Column, total: Column) -> Column:
     """SNK-9: per cent of a download with one decimal; 0 of nothing."""
-    return F.round(F.coalesce(F.try_divide(written, total), F.lit(0.0)) * 100, 1)
+    return F.floor(F.coalesce(F.try_divide(written, total), F.lit(0.0)) * 1000 + 0.5) / 10
 
 
 def attachments(rows: DataFrame, name: str) -> DataFrame:
