@@ -73,6 +73,6 @@ FORMS = (
     r"\[\[[\w .-]{1,40}\]\]",
     r"<(?:your|insert|enter) [^<>\n]{1,40}>",
     r"(?<![\w{])\{[A-Za-z_]\w{0,40}(?:[:!][^{}\s]{0,12})?\}(?!\})",
-    r"(?<![\w_])_{4,}(?![\w_])",
-    r"(?<!\w)[Xx]{4,}(?!\w)",
+    r"(?<![\w_])_{4,80}(?![\w_])",
+    r"(?<!\w)[Xx]{4,40}(?!\w)",
 )
