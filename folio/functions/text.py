@@ -109,32 +109,47 @@ def collapse_spacing(c: Column | str) -> Column:
 
 def count_mentions(c: Column | str, keyword: Column | str) -> Column:
     """TXT-7: literal, case-insensitive, non-overlapping; an empty keyword counts 0, a null text 0."""
-    t, k = F.lower(F.coalesce(col(c), F.lit(""))), F.lower(keyword if isinstance(keyword, Column) else F.lit(keyword))
+    return mentions_in(F.lower(F.coalesce(col(c), F.lit(""))), keyword)
+
+
+def mentions_in(t: Column, keyword: Column | str) -> Column:
+    """The same of a text already in lower case."""
+    k = F.lower(keyword if isinstance(keyword, Column) else F.lit(keyword))
     hits = F.floor((F.length(t) - F.length(F.replace(t, k, F.lit("")))) / F.greatest(F.length(k), F.lit(1)))
     return F.when(F.length(k) == 0, 0).otherwise(hits).cast("long")
 
 
+def bound(c: Column, f) -> Column:
+    """f of c, with c worked out once however often f names it."""
+    return F.get(F.transform(F.array(c), f), F.lit(0))
+
+
 def strip_noise(c: Column | str) -> Column:
     """TXT-8: output of a command-line model without its banner, echoes and statistics."""
     lines = F.split(F.regexp_replace(F.regexp_replace(col(c), "\r\n", "\n"), "\n$", ""), "\n")
+    # a line that neither begins nor ends with white space is its own trimmed form
+    ragged = rf"^{SPACE}|{SPACE}$"
+    pairs = F.transform(lines, lambda x: F.struct(x.alias("line"), F.when(x.rlike(ragged), trim_all(x)).otherwise(x).alias("t")))
 
     def banner(x: Column) -> Column:
-        t = trim_all(x)
+        t = x["t"]
         out = (t == "") | t.rlike(f"[{BANNER_GLYPHS}]")
         for p in BANNER_STARTS:
             out = out | t.startswith(p)
         return out
 
     def noise(x: Column) -> Column:
-        t = trim_all(x)
-        out = t.isin(*NOISE_LINES)
+        out = x["t"].isin(*NOISE_LINES)
         for p in NOISE_STARTS:
-            out = out | t.startswith(p)
+            out = out | x["t"].startswith(p)
         return out
 
-    first = F.array_position(F.transform(lines, banner), F.lit(False))
-    body = F.when(first == 0, F.array().cast("array<string>")).otherwise(F.slice(lines, first.cast("int"), F.size(lines)))
-    return F.array_join(F.filter(body, lambda x: ~noise(x)), "\n")
+    def body(rows: Column) -> Column:
+        first = F.array_position(F.transform(rows, banner), F.lit(False)).cast("int")
+        kept = bound(first, lambda k: F.when(k > 0, F.slice(rows, F.greatest(k, F.lit(1)), F.size(rows))))
+        return F.array_join(F.transform(F.filter(kept, lambda x: ~noise(x)), lambda x: x["line"]), "\n")
+
+    return F.when(col(c).isNotNull(), F.coalesce(bound(pairs, body), F.lit("")))
 
 
 def truncate_bytes(c: Column | str, most: int = 120) -> Column:
