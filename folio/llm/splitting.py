@@ -1,7 +1,7 @@
 """Problem 3: cutting oversized texts into pieces under a byte limit at natural boundaries, with an overlap.
 
-Agglomerative merging: a text starts as atomic segments (words with the white space behind them; a word that is too
-long, at characters). Adjacent segments lie in a heap under the strength of the boundary between them: inside a word,
+Agglomerative merging: a text starts as atomic segments (the largest stretches between boundaries that fit, down to words
+and, in a word that is too long, characters). Adjacent segments lie in a heap under the strength of the boundary between them: inside a word,
 between words, sentences, lines, paragraphs. The weakest boundary is merged first, and of equally weak ones the one whose
 merged segment is smallest, as long as the segment plus the overlap before it keeps within the limit. What stays apart
 is cut, so cuts fall on the strongest boundaries the limit allows.
@@ -15,8 +15,10 @@ are cut once per distinct key and text.
 from __future__ import annotations
 
 import heapq
+import re
+from bisect import bisect_right
 
-import regex
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -25,19 +27,56 @@ from folio.session import table
 
 #: origin: (table, id column, byte limit, overlap in characters)
 LIMITS = {"chapters": ("chapters", "chapter_id", 8192, 200), "chunks": ("chunks", "chunk_id", 2048, 64)}
-ATOM = regex.compile(r"\S+\s*|\s+")
-SENTENCE_END = regex.compile(r"[.!?…。！？][\"'”’»)\]]*\s+$")
+NEW_LINE = r"(?:\r\n|\n|\r)"
 INSIDE, WORD, SENTENCE, LINE, PARAGRAPH = range(5)
-
-
-def _strength(atom: str) -> int:
-    """Of the boundary behind an atom."""
-    if atom[-1].isspace():
-        lines = atom.count("\n") or atom.count("\r")
-        if lines:
-            return PARAGRAPH if lines > 1 else LINE
-        return SENTENCE if SENTENCE_END.search(atom) else WORD
-    return INSIDE
+#: White space up to the end of which a boundary of a strength lies, strongest first.
+BOUNDARIES = (
+    (PARAGRAPH, re.compile(rf"[^\S\r\n]*{NEW_LINE}[^\S\r\n]*{NEW_LINE}\s*")),
+    (LINE, re.compile(rf"[^\S\r\n]*{NEW_LINE}\s*")),
+    (SENTENCE, re.compile(r"[.!?…。！？][\"'”’»)\]]*\s+")),
+    (WORD, re.compile(r"\s+")),
+)
+
+
+def _bytes_before(text: str):
+    """Bytes before each character and at the end."""
+    if text.isascii():
+        return range(len(text) + 1)
+    code = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    size = 1 + (code >= 0x80).astype(np.int64) + (code >= 0x800) + (code >= 0x10000)
+    return [0, *np.cumsum(size).tolist()]
+
+
+def atoms(text: str, limit: int, overlap: int, at) -> list[tuple[int, int, int]]:
+    """(start, end, strength of the boundary behind) of the segments that merging starts from.
+
+    A segment between two boundaries that fits the limit is an atom: all boundaries inside it are weaker and all merges
+    inside it fit, so they would be made before any merge over its ends, and nothing is lost by starting with their result."""
+    out: list[tuple[int, int, int]] = []
+    room = limit - 4 * overlap  # what fits whatever the characters before it are
+
+    def cut(a: int, b: int, strength: int, level: int) -> None:
+        if at[b] - at[max(0, a - overlap)] <= limit:
+            out.append((a, b, strength))
+            return
+        if level == len(BOUNDARIES):
+            while at[b] - at[a] > room:
+                c = bisect_right(at, at[a] + room, a + 1, b + 1) - 1
+                c = max(c, a + 1)
+                out.append((a, c, INSIDE))
+                a = c
+            out.append((a, b, strength))
+            return
+        mark, pattern = BOUNDARIES[level]
+        start = a
+        for m in pattern.finditer(text, a, b):
+            if m.end() < b:
+                cut(start, m.end(), mark, level + 1)
+                start = m.end()
+        cut(start, b, strength, level + 1)
+
+    cut(0, len(text), PARAGRAPH, 0)
+    return out
 
 
 def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
@@ -46,26 +85,13 @@ def pieces(text: str, limit: int, overlap: int) -> list[tuple[int, int, int]]:
         return [(0, 0, len(text))]
     if limit < 4 * overlap + 4:
         raise ValueError("the limit leaves no room for the overlap")
-    # bytes before each character
-    at = [0]
-    for ch in text:
-        o = ord(ch)
-        at.append(at[-1] + (1 if o < 0x80 else 2 if o < 0x800 else 3 if o < 0x10000 else 4))
-    room = limit - 4 * overlap  # an atom up to this size fits whatever the characters before it are
-    start, end, strong = [], [], []
-    for m in ATOM.finditer(text):
-        a, b = m.span()
-        while at[b] - at[a] > room:
-            c = a + 1
-            while c < b and at[c + 1] - at[a] <= room:
-                c += 1
-            start.append(a)
-            end.append(c)
-            strong.append(INSIDE)
-            a = c
-        start.append(a)
-        end.append(b)
-        strong.append(_strength(text[a:b]))
+    at = _bytes_before(text)
+    return merge(atoms(text, limit, overlap, at), limit, overlap, at)
+
+
+def merge(segments: list[tuple[int, int, int]], limit: int, overlap: int, at) -> list[tuple[int, int, int]]:
+    """Adjacent segments merged over the weakest boundary first while the result fits."""
+    start, end, strong = map(list, zip(*segments))
     n = len(start)
     before, after, alive = list(range(-1, n - 1)), list(range(1, n + 1)), [True] * n
 

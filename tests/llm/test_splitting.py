@@ -1,6 +1,7 @@
 """Pieces keep within the limit, overlap as asked, lose nothing and are cut at the strongest boundaries."""
 
 import random
+import re
 
 import pytest
 
@@ -29,6 +30,38 @@ def test_random():
             check(text, 200, 16)
 
 
+def words(text, limit, overlap, at):
+    """Segments of single words, from which merging reaches the same pieces by many more steps."""
+    out, a = [], 0
+    room = limit - 4 * overlap
+    for m in re.finditer(r"\s+|(?<=\S)$", text):
+        b = m.end()
+        if b <= a:
+            continue
+        lines = len(re.findall(S.NEW_LINE, m.group()))
+        strength = S.PARAGRAPH if lines > 1 else S.LINE if lines else S.SENTENCE if re.search(r"[.!?…。！？][\"'”’»)\]]*$", text[: m.start()]) else S.WORD
+        while at[b] - at[a] > room:
+            c = a + 1
+            while at[c + 1] - at[a] <= room:
+                c += 1
+            out.append((a, c, S.INSIDE))
+            a = c
+        out.append((a, b, strength))
+        a = b
+    return out
+
+
+def test_same_as_from_words():
+    rnd = random.Random(4)
+    for _ in range(200):
+        text = "".join(rnd.choice(["word ", "two words. ", "é ", "漢字 ", "End!\n", "line\n", "para\n\n", "a " * 9]) for _ in range(rnd.randint(20, 250)))
+        if len(text.encode()) > 150:
+            at = S._bytes_before(text)
+            mine, plain = S.pieces(text, 150, 6), S.merge(words(text, 150, 6, at), 150, 6, at)
+            strength = lambda got: [(text[:s][-1:], text[:s][-2:].count("\n")) for _, s, _ in got[1:]]
+            assert len(mine) == len(plain) and strength(mine) == strength(plain)
+
+
 def test_boundaries_in_order():
     paragraph = "One sentence here. " * 5
     text = "\n\n".join([paragraph] * 20)
