@@ -39,7 +39,7 @@ FORM = re.compile("|".join(FORMS))
 HINTS = ("{", "<", "@@", "__", "XXX", "xxx", "%")
 BARE = re.compile(r"(?<!\w)(?:TODO|FIXME|TBD)(?!\w)")
 #: Containment from which a passage is residue, share of a text from which it is, and share of a bracket's words that ask.
-CONTAINED, COVERED, ASKED = 0.65, 0.5, 0.4
+CONTAINED, COVERED, ASKED = 0.65, 0.5, 0.3
 #: A word is filler if it is in so many seed texts, and such a share of its texts are seed texts.
 SEED_TEXTS, SEED_SHARE = 2, 0.5
 #: A word in more than this share of all texts finds nothing by itself.

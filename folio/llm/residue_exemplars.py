@@ -12,6 +12,7 @@ error | Sorry, the shelf, archive, catalogue, library, room, reading room or lis
 error | Notice: this page is down for repair or maintenance. Ask the help desk, contact support and quote the code.
 error | Access denied. You do not have permission or the rights to open or view this resource. Reference number.
 error | HTTP error: not found, forbidden, unauthorized, bad request, bad gateway, gateway timeout, internal server error, service unavailable, too many requests.
+error | The page, server or request took too long to respond, answer, load or open.
 error | The upstream server or node gave no answer, did not respond in time. Incident, request, trace and ray id.
 error | Your session has expired or ended. Please sign in or log in again to continue reading.
 error | Rate limit reached or exceeded for this minute. Too many requests, please slow down and wait. Id
