@@ -88,10 +88,19 @@ def _raw(text: str, codec: str) -> bytes | None:
     return bytes(out)
 
 
+#: Ranges of characters that text is made of (fixed values): Latin, combining marks, Greek, Cyrillic, Hebrew, Arabic, Indic
+#: and Thai, joiners and punctuation, currency, letter-like signs, arrows, CJK, Hangul, emoji. Phonetic letters, which
+#: capitals with a quotation mark behind them would read as, are left out.
+TEXT_RANGES = (
+    (0xA0, 0x17F), (0x218, 0x21B), (0x300, 0x36F), (0x384, 0x3CE), (0x401, 0x45F), (0x490, 0x491), (0x5D0, 0x5EA), (0x600, 0x6FF), (0x900, 0xE7F),
+    (0x200B, 0x2044), (0x20A0, 0x20BF), (0x2116, 0x2122), (0x2150, 0x2200), (0x2600, 0x27BF), (0x3000, 0x9FFF), (0xAC00, 0xD7A3), (0xFB00, 0xFB06), (0xFE0F, 0xFE0F), (0x1F000, 0x1FAFF),
+)
+
+
 def _plausible(ch: str) -> bool:
-    """Letters and marks of scripts that the encodings serve."""
+    """Whether a character is one of text."""
     o = ord(ch)
-    return 0xA1 <= o <= 0x17F or 0x384 <= o <= 0x3CE or 0x401 <= o <= 0x45F or 0x490 <= o <= 0x491 or 0x2010 <= o <= 0x2044 or o in (0xA0, 0x20AC, 0x2116, 0x2122, 0x300, 0x301, 0x303, 0x308, 0x307, 0x327, 0x328, 0x2190, 0x2192, 0x2022) or 0x1F300 <= o <= 0x1FAFF
+    return any(a <= o <= b for a, b in TEXT_RANGES)
 
 
 @lru_cache(maxsize=200_000)
