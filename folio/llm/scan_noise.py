@@ -172,7 +172,10 @@ def _wanted_of(form: str) -> set[str]:
         w = a + b
         return {w, f"{a}-{b}", a, b, *(v for v, _ in variants(w))}
     out: set[str] = set()
-    for w in _bases(form):
+    bases = _bases(form)
+    if len(bases) > 1:
+        out.add(SEP + bases[0])
+    for w in bases:
         out.add(w)
         out.update(v for v, _ in variants(w))
         if len(w) >= 6:
@@ -190,7 +193,7 @@ def misread(w: str, n: int, found: dict) -> str | None:
     best, most = None, 0.0
     for v, k in variants(w):
         m = found.get(v, 0)
-        if m >= KNOWN - odd and (k == 1 or odd or n <= KNOWN) and m >= ratio * n * (1 if odd else k * k) and m / (8**k) > most and not ODD.search(v):
+        if m >= KNOWN - odd and m >= ratio * n * (1 if odd else k * k) and m / (8**k) > most and not ODD.search(v):
             best, most = v, m / (8**k)
     return best
 
@@ -220,12 +223,15 @@ def reading(form: str, found: dict) -> str | None:
         return "j" if b[:1].islower() else "n"
     bases = _bases(form)
     n = get(bases[0], 0)
-    for w in bases[::-1]:
-        if w != bases[0] and n >= KNOWN * 4:
-            continue  # the marks are marks
-        right = misread(w, get(w, 0) if w == bases[0] else 1, found)
-        if right:
+    if len(bases) > 1:
+        w, bare = bases[1], n - get(SEP + bases[0], 0)
+        right = misread(w, max(1, bare), found)
+        # the marks are marks if the word is frequent without them, or the reading is rarer than the word
+        if right and get(right, 0) >= max(ODD_RATIO * n, (RATIO if len(w) >= 4 else SHORT_RATIO) * bare):
             return f"m{right}"
+    right = misread(bases[0], n, found)
+    if right:
+        return f"m{right}"
     w = bases[0]
     if len(w) >= 6 and w.isalpha():
         best = max(range(2, len(w) - 1), key=lambda k: min(get(w[:k], 0), get(w[k:], 0)))
@@ -237,7 +243,14 @@ def reading(form: str, found: dict) -> str | None:
 def readings(texts: DataFrame, limit: int | None = None) -> DataFrame:
     """key (form), value (reading) of every form that isn't simply kept."""
     raw = cut(map_rows(texts.select("text"), _form_counts, "form string, n long").groupBy("form").agg(F.sum("n").alias("n")))
-    cores = map_rows(raw.where(f"n > 0 and length(form) <= {LONGEST}"), lambda bs: ([(w, n) for f, n in zip(c["form"], c["n"]) if (w := core(f))] for c in bs), "key string, n long")
+
+    def words(batches):
+        for c in batches:
+            counted = [(_bases(f), n) for f, n in zip(c["form"], c["n"])]
+            # every use of a word, and again those with doubtful marks at its edges
+            yield [(k, n) for b, n in counted if b[0] for k in (b[0], *([SEP + b[0]] if len(b) > 1 else []))]
+
+    cores = map_rows(raw.where(f"n > 0 and length(form) <= {LONGEST}"), words, "key string, n long")
     lexicon = cores.groupBy("key").agg(F.sum("n").alias("value"))
     forms = raw.where(F.col("form").rlike(r"\p{L}") & (F.length("form") <= LONGEST))
 

@@ -203,3 +203,19 @@ def test_readings():
     assert scan_noise.reading("well\x1fworn", found) == "h" and scan_noise.reading("rea\x1fder", found) == "j"
     assert scan_noise.reading("times", found) is None and scan_noise.reading("x" * 500, found) is None
     assert scan_noise.roman_value("xiv") == 14
+
+
+@pytest.mark.parametrize("times", [1, 10, 1000])
+def test_marks_at_any_scale(times):
+    found = {k: n * times for k, n in {"nvitation": 3, "\x1fnvitation": 3, "invitation": 90, "lose": 40, "\x1flose": 2, "close": 90, "timcs": 1, "fimcs": 2, "times": 900}.items()}
+    assert scan_noise.reading("!nvitation", found) == "minvitation" and scan_noise.reading("|nvitation,", found) == "minvitation"
+    assert scan_noise.reading("(lose", found) is None
+    assert scan_noise.reading("fimcs", found) == "mtimes"  # two confusions
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_marks_in_repeated_pages(spark, limit):
+    once = ["An !nvitation to the (hapter.", "(The invitation stands!) " + "The invitation of the chapter stands. " * 30]
+    for times in (1, 20):
+        got = dict(map(tuple, scan_noise.readings(spark.createDataFrame([(t,) for t in once * times], "text string"), limit).collect()))
+        assert got == {"!nvitation": "minvitation", "(hapter.": "mchapter"}
