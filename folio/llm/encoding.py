@@ -7,9 +7,10 @@ made these characters of, read as UTF-8 (again, while that works, as text can be
 one-byte encoding if this makes nearly all improbable pairs probable. What no mapping brings back, because characters
 were replaced, is found by the replacement marks inside words.
 
-The statistics leave out runs that read whole as UTF-8 under a wrong encoding: garbled text may be so frequent that its
-pairs would look normal. (This trimming is our addition to the method; plain mutual information takes frequent garbage
-for a language.) A short garbled run alone in quotation marks is quoted, not garbled.
+The statistics are over distinct texts and leave out runs that read whole as UTF-8 under a wrong encoding, and lines
+whose words have forms that no script has until a one-byte mapping gives them regular ones: garbled text may be so
+frequent that its pairs would look normal. (This trimming is our addition to the method; plain mutual information takes
+frequent garbage for a language.) A short garbled run alone in quotation marks is quoted, not garbled.
 
 Results: null and empty texts are never affected; a document is found once; text that isn't affected comes back as it is.
 """
@@ -132,6 +133,42 @@ def _quoted(text: str, start: int, end: int) -> bool:
     return end - start <= QUOTED and 0 < start and end < len(text) and text[start - 1] in OPENING and text[end] in CLOSING
 
 
+#: Forms that words of no script have: a sign between letters, signs in a row, a capital behind a small letter, three letters of Latin
+#: beyond ASCII and more in a row, Cyrillic beside Latin, control characters.
+_LETTER, _SMALL, _GREAT = r"[^\W\d_]", "[a-zß-öø-ÿа-яё-џ]", "[À-ÖØ-ÞА-ЯЀ-Џ]"
+IRREGULAR = re.compile(
+    rf"(?<={_LETTER})[¡-©«-´¶-¹»-¿×÷‚„†‡‰‹›€™\u2200-\u22ff\u2320-\u25ff]+(?={_LETTER})|[¡-ª¬-¹¼-¿]{{2,}}|(?<={_SMALL}){_GREAT}+|(?:[À-ÖØ-öø-ƒªºµ]){{3,}}|(?<=[а-яёА-ЯЁ])[À-ÖØ-öø-ƒ]+|(?<=[a-zA-ZÀ-ÖØ-öø-ƒ])[а-яёА-ЯЁ]+|[\x80-\x84\x86-\x9f\u2500-\u259f]+"
+)
+#: A word with small and great letters exchanged, and what this makes great.
+INVERTED, GREAT = re.compile(r"(?<![^\W\d_])[а-яё] ?[А-ЯЀ-Џ]{2,}(?![^\W\d_])"), re.compile("[А-ЯЀ-Џ]")
+
+
+def _irregular(line: str) -> int:
+    """Characters of a line in forms that words don't have."""
+    n = sum(m.end() - m.start() for m in IRREGULAR.finditer(line))
+    return max(n, len(GREAT.findall(line))) if INVERTED.search(line) else n
+
+
+@lru_cache(maxsize=20_000)
+def garbled_form(line: str) -> bool:
+    """Whether the words of a line are irregular, and a one-byte mapping makes nearly all of them regular."""
+    n = sum(map(len, RUN.findall(line)))
+    bad = _irregular(line)
+    if n < PAIRS or bad < GAIN * n:
+        return False
+    for wrong, right in ONE_BYTE:
+        raw = _raw(line, wrong)
+        if raw is None:
+            continue
+        try:
+            other = raw.decode(right)
+        except UnicodeDecodeError:
+            continue
+        if _irregular(other) <= LEFT_OVER * bad and all(c < "\x80" or _plausible(c) for c in other):
+            return True
+    return False
+
+
 def _counts(batches):
     count: Counter[str] = Counter()
     for c in batches:
@@ -139,14 +176,18 @@ def _counts(batches):
             if not t:
                 continue
             count[NEVER] += 1
-            seen = set(t)
-            if not t.isascii():
-                for m in RUN.finditer(t):
-                    run = m.group()
-                    if utf8_behind(run) is None:
-                        s, e = max(0, m.start() - 1), m.end() + 1
-                        part = t[s:e]
-                        seen.update(map("".join, zip(part, part[1:])))
+            if t.isascii():
+                count.update(set(t))
+                continue
+            seen: set[str] = {"\n"} if "\n" in t else set()
+            for line in t.split("\n"):
+                kept = RUN.sub(lambda m: m.group() if utf8_behind(m.group()) is None else NEVER, line)
+                if kept.isascii() or not garbled_form(kept.replace(NEVER, "")):
+                    seen.update(line)
+                    for m in RUN.finditer(line):
+                        if utf8_behind(m.group()) is None:
+                            part = line[max(0, m.start() - 1) : m.end() + 1]
+                            seen.update(map("".join, zip(part, part[1:])))
             count.update(seen)
         if len(count) > 300_000:
             yield list(count.items())
@@ -155,8 +196,8 @@ def _counts(batches):
 
 
 def pair_counts(texts: DataFrame) -> DataFrame:
-    """key, value: number of texts with each character and each adjacent pair that isn't ASCII."""
-    return map_rows(texts.select("text"), _counts, "key string, n long").groupBy("key").agg(F.sum("n").alias("value"))
+    """key, value: number of distinct texts with each character and each adjacent pair that isn't ASCII."""
+    return map_rows(texts.select("text").distinct(), _counts, "key string, n long").groupBy("key").agg(F.sum("n").alias("value"))
 
 
 class PairScores:

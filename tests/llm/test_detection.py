@@ -145,6 +145,22 @@ def test_encoding(documents, limit):
     assert encoding.restore_all(documents.limit(0)).count() == 0
 
 
+ONE_BYTE = {"latin-1": ("ru", "cp1251"), "cp1251": ("ru", "koi8_r"), "cp1252": ("pl", "cp852")}
+
+
+@pytest.mark.parametrize("wrong", sorted(ONE_BYTE))
+@pytest.mark.parametrize("copies", [True, False])
+def test_frequent_one_byte_garbling(spark, wrong, copies):
+    """A third of all rows is garbled the same way: copies of one text, or different texts."""
+    language, right = ONE_BYTE[wrong]
+    clean = list(CLEAN.values())
+    rows = [(i, f"{clean[i % 5]} {clean[(i + i // 5) % 5]} {i}") for i in range(200)]
+    texts = {1000 + i: CLEAN[language] + ("" if copies else f" {i}") for i in range(100)}
+    rows += [(k, t.encode(right).decode(wrong)) for k, t in texts.items()]
+    got = {r["doc_id"]: r["restored"] for r in encoding.restore_all(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == texts
+
+
 # ---- scanned pages -----------------------------------------------------------------------------------------------------
 
 
