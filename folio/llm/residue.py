@@ -1,7 +1,7 @@
 """Problem 5: template residue and error-page text in place of content.
 
-Labelled exemplars of error messages, script notices and filler lie in an inverted index of their words. A text whose
-words hit the index is cut into passages (sentences and lines); the TF-IDF weight of a passage's words that the
+Labelled exemplars of error messages, script notices and filler lie in an inverted index of their words. Every
+text is cut into passages (sentences and lines); the TF-IDF weight of a passage's words that the
 exemplars of one label hold, against the weight of all its words, is its containment. A text is residue if passages of
 high containment cover most of its weight. Word frequencies are counted over all texts; filler in a made-up Latin is
 learned from the texts that keep saying its classic first words, so exemplars need not list it, and a passage that says a
@@ -42,12 +42,8 @@ BARE = re.compile(r"(?<!\w)(?:TODO|FIXME|TBD)(?!\w)")
 CONTAINED, COVERED, ASKED = 0.65, 0.5, 0.3
 #: A word is filler if it is in so many seed texts, and such a share of its texts are seed texts.
 SEED_TEXTS, SEED_SHARE = 2, 0.5
-#: A word in more than this share of all texts finds nothing by itself.
-COMMON = 0.05
 #: A passage of so many words of which so few are different repeats itself.
 REPEATED_WORDS, REPEATED_SHARE = 10, 0.15
-#: A text is looked at closely if one in so many of its different words hits the index.
-HITS = 8
 
 
 def exemplars(lines: str = NOTICES) -> dict[str, frozenset[str]]:
@@ -91,13 +87,24 @@ class Judge:
         self.asking = frozenset(WORDS(ASKING.lower()))
         self.every = frozenset().union(*labels.values())
         #: postings: word -> labels
-        self.index = {w: tuple(k for k, v in labels.items() if w in v) for w in self.every if found.get(w, 0) <= COMMON * self.n}
+        self.index = {w: tuple(k for k, v in labels.items() if w in v) for w in self.every}
         self.fillers = frozenset(k[2:] for k in found if k.startswith(f"F{SEP}") and self.filler(k[2:]))
-        self.hits = self.fillers.union(self.index)
+        if self.fillers and "filler" in labels:
+            self.index.update({w: tuple({*self.index.get(w, ()), "filler"}) for w in self.fillers})
+        self.memo: dict[str, float] = {}
 
     def weight(self, w: str) -> float:
         return math.log((self.n + 1) / (self.found.get(w, 0) + 0.5)) if self.n > 1 else 1.0
 
+    def part(self, w: str) -> float:
+        """Weight of a word in its passage."""
+        x = self.memo.get(w)
+        if x is None:
+            if len(self.memo) > 500_000:
+                self.memo.clear()
+            x = self.memo[w] = max(0.05, self.weight(w))
+        return x
+
     def filler(self, w: str) -> bool:
         seeds = self.found.get(f"F{SEP}{w}", 0)
         return seeds >= SEED_TEXTS and seeds >= SEED_SHARE * self.found.get(w, 0)
@@ -125,11 +132,16 @@ class Judge:
             words = WORDS(passage.lower())
             if not words:
                 continue
-            weights = [max(0.05, self.weight(w)) for w in words]
+            weights = list(map(self.part, words))
             total = sum(weights)
-            best = max(
-                sum(x for w, x in zip(words, weights) if w in vocabulary or (label == "filler" and w in self.fillers)) for label, vocabulary in self.labels.items()
-            )
+            # one label holds no more than all labels together
+            best = sum(x for w, x in zip(words, weights) if w in self.index)
+            if best >= CONTAINED * total:
+                by: dict[str, float] = dict.fromkeys(self.labels, 0.0)
+                for w, x in zip(words, weights):
+                    for label in self.index.get(w, ()):
+                        by[label] += x
+                best = max(by.values())
             whole += total
             n += len(words)
             if best >= CONTAINED * total or (len(words) >= REPEATED_WORDS and len(set(words)) <= REPEATED_SHARE * len(words)):
@@ -138,13 +150,7 @@ class Judge:
         return min(inside / whole, n_inside / n) if n else 0.0
 
     def residue(self, text: str) -> bool:
-        if self.placeholder(text):
-            return True
-        words = WORDS(text.lower())
-        kinds = set(words)
-        # passages cover half of the weight only if a good part of the words are in the index, or always the same
-        near = len(kinds & self.hits) * HITS >= len(kinds) or len(kinds) <= REPEATED_SHARE * len(words)
-        return near and bool(words) and self.covered(text) >= COVERED
+        return self.placeholder(text) or self.covered(text) >= COVERED
 
 
 def _quoted(text: str, start: int, end: int) -> bool:

@@ -97,6 +97,15 @@ def test_residue(spark, limit):
         assert residue.find_residue(df.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("k", [1, 2, 3, 8])
+@pytest.mark.parametrize("others, times", [(5, 1), (60, 30)])
+def test_frequent_residue(spark, k, others, times):
+    """In a table of a few rows, and as a third of all rows."""
+    rows = [(i, RESIDUE[k]) for i in range(times)] + [(1000 + i, body(i)) for i in range(others)]
+    got = {r["output_id"] for r in residue.find_residue(spark.createDataFrame(rows, "output_id long, text string")).collect()}
+    assert got == set(range(times))
+
+
 # ---- encodings ---------------------------------------------------------------------------------------------------------
 
 CLEAN = {
