@@ -5,10 +5,11 @@ often words go on from it. A text is looked at where it stops. One that stops wi
 bracket or a whole line of a closing list is complete, and a sentence without its end is cut. A line of a list or a
 heading is cut if its last word is an unknown proper prefix of known words, or if the shape of the line isn't one its
 label has in the corpus; a value such as "medi" is measured against the values of its own label. Numbers, which are
-prefixes of numbers, need length evidence: a length in characters or bytes at which unfinished texts pile up. The same
-evidence tells an ellipsis set by a cut from a notice that always ends in one.
+prefixes of numbers, need length evidence: a length in characters or bytes at which unfinished texts pile up. An ellipsis
+is set by a cut unless it ends a notice: a clause of words of the labelled exemplars alone, or one that ends a good share
+of all texts, without a pile at its length.
 
-All counts cover all texts; the trie is distributed, and broadcast only if its size allows. Results: null and blank
+All counts cover all texts, those of lengths and of clauses with an ellipsis distinct texts; the trie is distributed, and broadcast only if its size allows. Results: null and blank
 texts are never cut; repeated rows count once; rates are over distinct outputs with text, a null source is a source.
 """
 
@@ -21,6 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.common import map_rows, with_lookup
+from folio.llm.residue import WORDS, exemplars
 from folio.session import table
 
 LAST_WORD = re.compile(r"(\w+(?:['’\-]\w+)*)\W*$")
@@ -40,6 +42,9 @@ RARER = 20
 SHAPE_SHARE = 0.05
 #: Words of a notice that may end in an ellipsis.
 NOTICE_WORDS = 4
+#: A clause is a notice if such a share of all texts ends with it.
+NOTICE_SHARE = 0.05
+EXEMPLARS = tuple(exemplars().values())
 #: A length is evidence if so many unfinished texts have it, and so many times as many as have the lengths around it.
 PILE, PILE_RATIO, AROUND = 4, 4, 5
 
@@ -88,20 +93,22 @@ def _merged(raw: Counter, count: Counter) -> None:
 
 
 def _statistics(batches):
-    """Counts of a partition's texts: key, n."""
+    """Counts of a partition's texts: key, n, and the hash of the text where distinct texts count."""
     count: Counter[str] = Counter()
     raw: Counter[str] = Counter()
+    once: set[tuple[str, int]] = set()
     for c in batches:
-        for t in c["text"]:
+        for t, h in zip(c["text"], c["h"]):
             if t is None or not (words := t.split()):
                 continue
             end = ending(t)
+            once.add((f"N{SEP}", h))
             if end and end[0] != "stop":
                 words.pop()  # the last word of an unfinished text teaches nothing
                 if end[0] != "label":
-                    count.update((f"C{SEP}{len(t)}", f"B{SEP}{len(t.encode())}"))
+                    once.update(((f"C{SEP}{len(t)}", h), (f"B{SEP}{len(t.encode())}", h)))
                 if end[0] == "mark":
-                    count[f"T{SEP}{end[2]}"] += 1
+                    once.add((f"T{SEP}{end[2]}", h))
             raw.update(words)
             if "\n" in t:
                 for line in closing_lines(t):
@@ -112,17 +119,19 @@ def _statistics(batches):
                         count[f"S{SEP}{shape(line)}"] += 1
                         for w in m.group(2).lower().split():
                             count[f"L{SEP}{label}{SEP}{w.strip(EDGES)}"] += 1
-        if len(raw) + len(count) > 300_000:
+        if len(raw) + len(count) + len(once) > 300_000:
             _merged(raw, count)
-            yield list(count.items())
-            raw, count = Counter(), Counter()
+            yield [*((k, n, None) for k, n in count.items()), *((k, 1, h) for k, h in once)]
+            raw, count, once = Counter(), Counter(), set()
     _merged(raw, count)
-    yield list(count.items())
+    yield [*((k, n, None) for k, n in count.items()), *((k, 1, h) for k, h in once)]
 
 
 def corpus_counts(texts: DataFrame) -> DataFrame:
     """key, value: every count and every node of the trie ("P" and a prefix: uses of the longer words below it)."""
-    counts = map_rows(texts.select("text"), _statistics, "key string, n long").groupBy("key").agg(F.sum("n").alias("n"))
+    rows = map_rows(texts.select("text", F.xxhash64("text").alias("h")), _statistics, "key string, n long, h long")
+    each = rows.groupBy("key", "h").agg(F.sum("n").alias("n"))
+    counts = each.groupBy("key").agg(F.sum(F.when(F.col("h").isNull(), F.col("n")).otherwise(1)).alias("n"))
     word = F.when(F.col("key").startswith(f"L{SEP}"), F.substring_index("key", SEP, -1)).otherwise(F.col("key"))
     words = counts.where(F.col("key").startswith(f"L{SEP}") | ~F.col("key").contains(SEP)).withColumn("w", word)
     head = F.expr("substring(key, 1, length(key) - length(w))")
@@ -149,7 +158,7 @@ def _keys(kind: str, label: str, line: str, chars: int, size: int) -> list[str]:
         return []
     lengths = [f"{k}{SEP}{n + d}" for k, n in (("C", chars), ("B", size)) for d in range(-AROUND, AROUND + 1)]
     if kind == "mark":
-        return [*lengths, f"T{SEP}{line}"]
+        return [*lengths, f"T{SEP}{line}", f"N{SEP}"]
     w = last_value(line)
     if kind == "label":
         return [*lengths, f"M{SEP}{label}", f"S{SEP}{shape(line)}", f"L{SEP}{label}{SEP}{w}", f"P{SEP}L{SEP}{label}{SEP}{w}"]
@@ -168,14 +177,23 @@ def pile(found: dict, chars: int, size: int) -> int:
     return most
 
 
+def notice(line: str) -> bool:
+    """Whether a clause has several words, all of them words of one label's exemplars."""
+    words = WORDS(line.lower())
+    return len(words) >= NOTICE_WORDS and any(v.issuperset(words) for v in EXEMPLARS)
+
+
 def is_cut(kind: str, label: str, line: str, chars: int, size: int, found: dict) -> bool:
     get = found.get
     if kind in ("stop", "open", "body"):
         return True
     if kind == "mark":
         # a notice of several words that always ends so is no cut, unless texts with other endings pile up at its length
+        if len(line.split()) < NOTICE_WORDS:
+            return True
         same = get(f"T{SEP}{line}", 0)
-        return len(line.split()) < NOTICE_WORDS or same < 2 or pile(found, chars, size) > 3 * same
+        often = same >= 2 and same >= NOTICE_SHARE * get(f"N{SEP}", 0)
+        return not (often or notice(line)) or pile(found, chars, size) > 3 * same
     if kind == "label":
         w = last_value(line)
         if not w or get(f"S{SEP}{shape(line)}", 0) < max(2, SHAPE_SHARE * get(f"M{SEP}{label}", 0)):

@@ -61,6 +61,16 @@ def test_rates(outputs):
     assert truncation.find_cut(outputs.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("limit", [None, 0])
+def test_frequent_cut(spark, limit):
+    """Copies of one cut output, a third of all rows, beside other texts cut in the same clause."""
+    tail = " The argument of the reader is […]"
+    rows = [(i, f"{body(i)} Remark {i}.\n\n- Severity: medium") for i in range(80)] + [(100 + i, body(1) + tail) for i in range(40)] + [(200 + i, f"Remark {i}. {body(2 + i)}{tail}") for i in range(2)]
+    rows += [(300, "Checking that you are not a robot…"), (301, "A clause of the reader. Checking that you are not a robot…")]
+    got = {r["output_id"] for r in truncation.find_cut(spark.createDataFrame(rows, "output_id long, text string"), limit=limit).collect()}
+    assert got == {*range(100, 140), 200, 201}
+
+
 # ---- residue -----------------------------------------------------------------------------------------------------------
 
 RESIDUE = {
