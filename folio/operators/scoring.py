@@ -14,6 +14,8 @@ from folio.functions.text import bound, mentions_in
 
 #: Books of the window, books it needs, least margin, tie margin, least share of wins (fixed values).
 WINDOW, MARGIN, TIE, WIN_SHARE = 10, 0.05, 0.01, 0.7
+#: Most categories whose keywords are counted in one expression.
+CATEGORIES = 1000
 
 
 def scores(outputs: DataFrame, categories: DataFrame, text: str = "text") -> DataFrame:
@@ -21,7 +23,9 @@ def scores(outputs: DataFrame, categories: DataFrame, text: str = "text") -> Dat
 
     categories: category, keyword; a dimension of a few rows, so it is collected into the expression and each text is
     read once, instead of once per category behind a cross join. A null text has no hits; every pair keeps its row."""
-    rows = [(r["category"], r["keyword"]) for r in categories.limit(1000).collect()]
+    rows = [(r["category"], r["keyword"]) for r in categories.limit(CATEGORIES + 1).collect()]
+    if len(rows) > CATEGORIES:
+        raise ValueError("too many categories for one expression")
     low = F.lower(F.coalesce(text, F.lit("")))
     counts = bound(low, lambda t: F.array(*[F.struct(F.lit(c).alias("category"), mentions_in(t, k).alias("hits")) for c, k in rows]))
     each = outputs.select("book_id", "model_name", F.explode(counts).alias("c")).select("book_id", "model_name", "c.category", "c.hits")

@@ -243,3 +243,9 @@ def test_analyzer(spark):
     df = spark.createDataFrame([(1, "Grammar grammar"), (2, None), (3, "")], "id long, text string")
     got = {r["id"]: r["output"] for r in analyze(df, ["id"], LexicalAnalyzer(["grammar"])).collect()}
     assert got == {1: "- grammar: 2", 3: "No findings."}
+
+
+def test_scores_of_too_many_categories(spark):
+    outputs = spark.createDataFrame([(1, "m", "a")], "book_id long, model_name string, text string")
+    with pytest.raises(ValueError):
+        S.scores(outputs, spark.range(1001).selectExpr("cast(id as string) as category", "'a' as keyword"))
