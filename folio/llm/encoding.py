@@ -367,7 +367,7 @@ def restore_all(documents: DataFrame, key: str = "doc_id", text: str = "text", l
 
     more = {} if limit is None else {"limit": limit}
     rows = documents.select(key, F.col(text).alias("text"))
-    return with_lookup(rows, pair_counts(rows), wanted, decide, f"`{key}` {kind}, restored string, whole boolean", state=PairScores, **more)
+    return with_lookup(rows, pair_counts(rows), wanted, decide, f"`{key}` {kind}, restored string, whole boolean", state=PairScores, always=[NEVER], **more)
 
 
 def p8_found(spark, sf_dir: str) -> DataFrame:

@@ -44,7 +44,7 @@ SHAPE_SHARE = 0.05
 NOTICE_WORDS = 4
 #: A clause is a notice if such a share of all texts ends with it.
 NOTICE_SHARE = 0.05
-EXEMPLARS = tuple(exemplars().values())
+EXEMPLARS = tuple(v for _, v in exemplars())
 #: A length is evidence if so many unfinished texts have it, and so many times as many as have the lengths around it.
 PILE, PILE_RATIO, AROUND = 4, 4, 5
 

@@ -116,6 +116,25 @@ def test_frequent_residue(spark, k, others, times):
     assert got == set(range(times))
 
 
+WORDINGS = (
+    "Sorry, the page you asked for could not be shown (404). Go back or try again in a few minutes.", "Your session has ended. Sign in again to go on reading.", "Bitte aktivieren Sie JavaScript, um diesen Inhalt zu sehen. Code 7.",
+    "Ошибка 503. Страница временно недоступна, попробуйте позже.", '{"error": {"code": 502, "message": "bad gateway", "trace": "9a"}}', "Sample analysis goes here. Replace this paragraph with the final wording. (3)",
+    "The tactic of <your chapter here> is plain.", "The tactic of {{" + "a" * 61 + "}} is plain.", "The tactic of " + "_" * 90 + " is plain.", "<noscript>Active JavaScript para continuar.</noscript>",
+)
+
+
+@pytest.mark.parametrize("share", [0.01, 0.06, 0.2, 0.4, 0.8])
+@pytest.mark.parametrize("limit", [None, 0])
+def test_one_wording_however_frequent(spark, share, limit):
+    """Each wording alone beside clean texts, at every share of all texts."""
+    clean = [(1000 + i, f"{body(i)} Remark {i} of the {'village town river mill'.split()[i % 4]}.") for i in range(120)]
+    for k, wording in enumerate(WORDINGS[:: 1 if limit is None and share == 0.4 else 4]):
+        times = max(1, round(120 * share / (1 - share)))
+        rows = clean + [(i, wording) for i in range(times)]
+        got = {r["output_id"] for r in residue.find_residue(spark.createDataFrame(rows, "output_id long, text string"), limit=limit).collect()}
+        assert got == set(range(times)), (k, wording)
+
+
 # ---- encodings ---------------------------------------------------------------------------------------------------------
 
 CLEAN = {
