@@ -1,16 +1,19 @@
 """Problem 8: text that was decoded with the wrong character encoding.
 
 Adjacent characters of which at least one isn't ASCII are scored by their mutual information in the corpus, shrunk
-towards 0 where it rests on few texts. A pair of low information is improbable; the maximal segments of improbable
-pairs are isolated, and the inverse mappings are tested only inside them: the bytes that a wrong encoding would have
-made these characters of, read as UTF-8 (again, while that works, as text can be garbled twice), or read as another
-one-byte encoding if this makes nearly all improbable pairs probable. What no mapping brings back, because characters
-were replaced, is found by the replacement marks inside words.
-
-The statistics are over distinct texts and leave out runs that read whole as UTF-8 under a wrong encoding, and lines
-whose words have forms that no script has until a one-byte mapping gives them regular ones: garbled text may be so
-frequent that its pairs would look normal. (This trimming is our addition to the method; plain mutual information takes
-frequent garbage for a language.) A short garbled run alone in quotation marks is quoted, not garbled.
+towards 0 where it rests on few texts. A pair of low information is improbable; so is a mark of replacement in a word. The
+maximal segments of improbable pairs are isolated, and the inverse mappings are tested inside them: the bytes that a
+wrong encoding would have made these characters of, read as UTF-8 (again, while that works, as text can be garbled
+twice), or read as another one-byte encoding if this makes nearly all improbable pairs probable. What no mapping brings
+back, because characters were replaced, is told by the replacement marks in a segment.
+
+Garbled text may be so frequent that its pairs look normal. Therefore a second score is taken beside the information: the
+log ratio of how often the pair occurs that a one-byte mapping makes of this one, to how often this one does. Where a
+mapping makes the pairs of lines far more frequent, these are segments too (of the positive ratios of that mapping). A
+segment is taken with whole words, and extended over what follows while the mapping explains it too; the rest of the line
+stays. The statistics are over distinct texts and leave out runs that read whole as UTF-8 under a wrong encoding, and
+lines whose words have forms that no script has until a one-byte mapping gives them regular ones. (The second score and
+this trimming are our additions to the method.) A short garbled run alone in quotation marks is quoted, not garbled.
 
 Results: null and empty texts are never affected; a document is found once; text that isn't affected comes back as it is.
 """
@@ -19,13 +22,14 @@ from __future__ import annotations
 
 import math
 import re
-from collections import Counter
+from collections import Counter, defaultdict
 from functools import lru_cache
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folio.llm.common import map_rows, with_lookup
+from folio.llm.common import Found, map_rows, with_lookup
 from folio.session import table
 
 #: Encodings that UTF-8 is taken for, and pairs (taken for, really) of one-byte encodings: fixed lists of codec names.
@@ -48,14 +52,21 @@ ONE_BYTE = tuple(
     for r in rs
 )
 RUN = re.compile(r"[^\x00-\x7f]+")
-LOST = re.compile(r"(?<=[^\W\d_])\?(?=[^\W\d_A-Z])")
 REPLACED = "�"
+#: Marks in place of characters that were lost, and all runs whose pairs are scored.
+LOST = re.compile(rf"{REPLACED}+|(?<=[^\W\d_])\?(?=[^\W\d_A-Z])")
+MARKS = re.compile(r"[^\x00-\x7f]+|(?<=[^\W\d_])\?(?=[^\W\d_A-Z])")
 #: Share of texts at which a pair's information counts half; information below which a pair is improbable.
 HALF, IMPROBABLE = 0.004, 0.25
 #: What an ASCII pair takes from a segment.
 GAP = 0.02
 #: One-byte mappings: least improbable share before, most of it that may be left, least pairs.
 GAIN, LEFT_OVER, PAIRS = 0.15, 0.3, 3
+#: Log ratios of frequencies: what is added to each count, the most a pair tells, the least sum and the least mean over the
+#: changed pairs from which a mapping explains lines, and the fall at which a segment isn't extended further.
+SMOOTH, MOST, LEAST_GAIN, MEAN_GAIN, DROP = 0.5, 6.0, 6.0, 0.5, 4.0
+#: Share of what segments touch that must read as UTF-8 before other mappings are left aside.
+EXPLAINED = 0.34
 QUOTED = 8
 OPENING, CLOSING = "\"'“„‘‚«‹`(", "\"'”“’‘»›`)"
 NEVER = "\x00"
@@ -201,18 +212,19 @@ def pair_counts(texts: DataFrame) -> DataFrame:
 
 
 class PairScores:
-    def __init__(self, found: dict):
+    def __init__(self, found: Found | dict):
         self.found, self.n = found, max(1, found.get(NEVER, 1))
         self.memo: dict[str, float] = {}
+        self.deltas: dict[str, np.ndarray] = {}
 
     def information(self, pair: str) -> float:
-        """Mutual information of a pair, shrunk by the texts it rests on."""
+        """Mutual information of a pair, shrunk by the texts it rests on. No print holds a mark of replacement in a word."""
         known = self.memo.get(pair)
         if known is None:
             if len(self.memo) > 500_000:
                 self.memo.clear()
             both = self.found.get(pair, 0)
-            if both:
+            if both and REPLACED not in pair:
                 each = max(1, self.found.get(pair[0], 1)) * max(1, self.found.get(pair[1], 1))
                 known = math.log(both * self.n / each) * both / (both + HALF * self.n)
                 if pair[0] < "\x80" or pair[1] < "\x80":
@@ -226,20 +238,46 @@ class PairScores:
     def improbable(self, pair: str) -> bool:
         return self.information(pair) < IMPROBABLE
 
-    def segments(self, line: str) -> list[tuple[int, int]]:
-        """Maximal segments of improbable pairs, as character ranges of a line."""
+    def delta(self, pair: str) -> np.ndarray:
+        """Per one-byte mapping how much more frequent (log ratio) the pair is that it makes of this one."""
+        known = self.deltas.get(pair)
+        if known is None:
+            if len(self.deltas) > 100_000:
+                self.deltas.clear()
+            here = self.found.get(pair, 0) + SMOOTH
+            out = []
+            for known_map in _maps():
+                other = pair.translate(known_map)
+                gain = 0.0 if other == pair else -MOST if NEVER in other else math.log((self.found.get(other, 0) + SMOOTH) / here)
+                out.append(max(-MOST, min(MOST, gain)))
+            known = self.deltas[pair] = np.array(out)
+        return known
+
+    def gains(self, line: str) -> tuple[np.ndarray, np.ndarray]:
+        """Per one-byte mapping the sum of a line's deltas, and how many of its pairs it changes."""
+        pairs = [self.delta(p) for p in _pairs(line)]
+        if not pairs:
+            return _NONE, _NONE
+        every = np.array(pairs)
+        return every.sum(0), np.count_nonzero(every, 0)
+
+    def segments(self, line: str, mapping: int | None = None) -> list[tuple[int, int]]:
+        """Maximal segments, as character ranges of a line: of improbable pairs, or of pairs that a mapping makes more
+        frequent."""
         out: list[tuple[int, int]] = []
         total = best = 0.0
         start = stop = last = -1
-        for m in RUN.finditer(line):
+        for m in MARKS.finditer(line):
             s, e = m.span()
+            lost = m.group() == "?"
             if total > 0:
                 total -= GAP * max(0, s - 1 - last)
                 if total <= 0:
                     out.append((start, stop))
                     total = best = 0.0
             for i in range(max(0, s - 1), min(e, len(line) - 1)):
-                score = IMPROBABLE - self.information(line[i : i + 2])
+                pair = line[i : i + 2]
+                score = IMPROBABLE + 1 if lost and mapping is None else IMPROBABLE - self.information(pair) if mapping is None else self.delta(pair)[mapping]
                 if total <= 0:
                     if score <= 0:
                         continue
@@ -258,82 +296,159 @@ class PairScores:
     def shares(self, text: str) -> tuple[int, int]:
         """(improbable, all) pairs of a text that aren't ASCII."""
         bad = n = 0
-        for m in RUN.finditer(text):
-            part = text[max(0, m.start() - 1) : m.end() + 1]
-            for a, b in zip(part, part[1:]):
-                n += 1
-                bad += self.improbable(a + b)
+        for pair in _pairs(text):
+            n += 1
+            bad += self.improbable(pair)
         return bad, n
 
 
+def _pairs(line: str):
+    for m in RUN.finditer(line):
+        part = line[max(0, m.start() - 1) : m.end() + 1]
+        yield from map("".join, zip(part, part[1:]))
+
+
+@lru_cache(maxsize=1)
+def _maps() -> tuple[dict[int, str], ...]:
+    """Per one-byte mapping what it makes of each character that isn't ASCII; NEVER if nothing."""
+    out = []
+    for wrong, right in ONE_BYTE:
+        known = defaultdict(lambda: NEVER, {o: chr(o) for o in range(0x80)})
+        for o, b in _bytes_of(wrong).items():
+            try:
+                known[o] = bytes([b]).decode(right)
+            except UnicodeDecodeError:
+                pass
+        out.append(known)
+    return tuple(out)
+
+
+_NONE = np.zeros(len(ONE_BYTE))
+
+
+def _utf8(line: str, parts: list[tuple[int, int]]) -> tuple[str, bool]:
+    """A line with the runs that its segments touch, and from there on the runs next to them, read as UTF-8 where a wrong
+    decoding of whole UTF-8 explains them; and whether it explains a good part of what the segments touch, as single runs
+    of one-byte garbage can read as UTF-8 by chance."""
+    runs = list(RUN.finditer(line))
+    reads = [None if _quoted(line, *m.span()) else utf8_behind(m.group()) for m in runs]
+    hit = [r is not None and any(a < m.end() and m.start() < b for a, b in parts) for m, r in zip(runs, reads)]
+    if not any(hit):
+        return line, False
+    touched = sum(len(m.group()) for m in runs if any(a < m.end() and m.start() < b for a, b in parts))
+    good = sum(len(m.group()) for m, h in zip(runs, hit) if h) >= EXPLAINED * touched
+    for order in (range(1, len(runs)), range(len(runs) - 2, -1, -1)):
+        step = 1 if order.step > 0 else -1
+        for i in order:
+            hit[i] = hit[i] or (hit[i - step] and reads[i] is not None)
+    out, at = [], 0
+    for m, r, h in zip(runs, reads, hit):
+        if h:
+            out += [line[at : m.start()], r]
+            at = m.end()
+    return "".join(out) + line[at:], good
+
+
+def _mapping(lines: list[str], scores: PairScores) -> int | None:
+    """The one-byte mapping that explains the improbable or replaceable pairs of these lines."""
+    totals = [scores.gains(x) for x in lines]
+    gain, changed = sum(t for t, _ in totals), sum(n for _, n in totals)
+    best = int(gain.argmax())
+    if changed[best] >= PAIRS and gain[best] >= LEAST_GAIN and gain[best] >= MEAN_GAIN * changed[best]:
+        return best
+    bad, n = map(sum, zip(*map(scores.shares, lines)))
+    if n < PAIRS or bad < GAIN * n:
+        return None
+    found, least = None, LEFT_OVER * bad / n
+    for k, known in enumerate(_maps()):
+        left = m = 0
+        for x in lines:
+            other = x.translate(known)
+            if NEVER in other:
+                break
+            b, c = scores.shares(other)
+            left, m = left + b, m + c
+        else:
+            if m and left / m <= least:
+                found, least = k, left / m - 1e-9
+    return found
+
+
+def _mapped(line: str, mapping: int, parts: list[tuple[int, int]], scores: PairScores) -> str:
+    """A line with its segments mapped: those of improbable pairs and those the mapping makes more frequent, with whole
+    words, and on from there while what follows is explained as well (up to the best point before it is markedly not)."""
+    known = _maps()[mapping]
+    words = [m.span() for m in re.finditer(r"[^ \t]+", line)]
+    gain = [sum(float(scores.delta(p)[mapping]) for p in _pairs(line[max(0, a - 1) : b + 1])) for a, b in words]
+    parts = [*parts, *scores.segments(line, mapping)]
+    inside = [any(a < e and s < b for s, e in parts) for a, b in words]
+    grown = list(inside)
+    for order in (range(len(words)), range(len(words) - 1, -1, -1)):
+        step, total, best, pending = 1 if order.step > 0 else -1, 0.0, 0.0, []
+        live = False
+        for i in order:
+            if inside[i]:
+                live, total, best, pending = True, 0.0, 0.0, []
+                continue
+            if not live:
+                continue
+            total += gain[i]
+            pending.append(i)
+            if total >= best:
+                best = total
+                for j in pending:
+                    grown[j] = True
+                pending = []
+            elif total < best - DROP:
+                live = False
+    out, at = [], 0
+    for (a, b), g in zip(words, grown):
+        if g:
+            other = line[a:b].translate(known)
+            if NEVER not in other:
+                out += [line[at:a], other]
+                at = b
+    return "".join(out) + line[at:]
+
+
 def restore(text: str, scores: PairScores) -> tuple[bool, str, bool]:
     """(affected, restored text, whether nothing is left that couldn't be restored)."""
     found, lines, suspects = False, text.split("\n"), []
+    lost = False
     for k, line in enumerate(lines):
-        if line.isascii():
+        if line.isascii() and "?" not in line:
             continue
         parts = scores.segments(line)
-        if not parts:
-            continue
-        hit = any(
-            any(a < m.end() and m.start() < b for a, b in parts) and not _quoted(line, *m.span()) and utf8_behind(m.group()) is not None for m in RUN.finditer(line)
-        )
-        if hit:  # the rest of the line was decoded with it
-            found = True
-            lines[k] = RUN.sub(lambda m: m.group() if _quoted(m.string, *m.span()) else utf8_behind(m.group()) or m.group(), line)
-        else:
-            suspects.append((k, parts))
+        better, good = _utf8(line, parts) if parts else (line, False)
+        if good:
+            found, lines[k] = True, better
+            parts = scores.segments(better)
+        elif not line.isascii() and (parts or scores.gains(line)[0].max() > 0):
+            suspects.append((k, parts, better))
+        lost = lost or _lost(lines[k], parts)
     if suspects:
-        joined = "\n".join(lines[k] for k, _ in suspects)
-        if (better := _one_byte(joined, scores)) is not None:
-            found = True
-            for (k, _), line in zip(suspects, better.split("\n")):
-                lines[k] = line
-        else:
-            for k, _ in suspects:
-                if (line := _one_byte(lines[k], scores)) is not None:
-                    found, lines[k] = True, line
-    restored = "\n".join(lines)
-    lost = _lost(restored)
-    return found or lost, restored, not lost
-
-
-def _one_byte(text: str, scores: PairScores) -> str | None:
-    bad, n = scores.shares(text)
-    if n < PAIRS or bad < GAIN * n:
-        return None
-    best, least = None, LEFT_OVER * bad / n
-    for wrong, right in ONE_BYTE:
-        raw = _raw(text, wrong)
-        if raw is None:
+        every = _mapping([lines[k] for k, _, _ in suspects], scores)
+        for k, parts, better in suspects:
+            m = every if every is not None else _mapping([lines[k]], scores) if len(suspects) > 1 else None
+            if m is not None and (mapped := _mapped(lines[k], m, parts, scores)) != lines[k]:
+                better = mapped
+            if better != lines[k]:
+                found, lines[k] = True, better
+    return found or lost, "\n".join(lines), not lost
+
+
+def _lost(line: str, parts: list[tuple[int, int]]) -> bool:
+    """Whether a segment holds a mark that replaced characters of a word."""
+    for m in LOST.finditer(line):
+        if not any(a < m.end() and m.start() < b for a, b in parts):
             continue
-        try:
-            other = raw.decode(right)
-        except UnicodeDecodeError:
+        if m.group()[0] == REPLACED:
+            if not _quoted(line, *m.span()):
+                return True
             continue
-        left, m = scores.shares(other)
-        if m and left / m <= least:
-            best, least = other, left / m - 1e-9
-    return best
-
-
-def _lost(text: str) -> bool:
-    """Whether characters inside words were replaced."""
-    at = text.find(REPLACED)
-    while at >= 0:
-        end = at
-        while end < len(text) and text[end] == REPLACED:
-            end += 1
-        if not _quoted(text, at, end):
+        a, b = line.rfind(" ", 0, m.start()) + 1, line.find(" ", m.end())
+        if not any(x in line[a : b if b >= 0 else len(line)] for x in ("/", "=", "&", "@")):
             return True
-        at = text.find(REPLACED, end)
-    if "?" in text:
-        for m in LOST.finditer(text):
-            a = text.rfind(" ", 0, m.start()) + 1
-            b = text.find(" ", m.end())
-            word = text[a : b if b >= 0 else len(text)]
-            if not any(x in word for x in ("/", "=", "&", "@")):
-                return True
     return False
 
 
@@ -343,20 +458,21 @@ def restore_all(documents: DataFrame, key: str = "doc_id", text: str = "text", l
 
     def pairs(t):
         out = {NEVER, *t}
+        for pair in set(_pairs(t)):
+            out.add(pair)
+            for known in _maps():
+                other = pair.translate(known)
+                if NEVER not in other:
+                    out.update((other, *other))
         for m in RUN.finditer(t):
-            part = t[max(0, m.start() - 1) : m.end() + 1]
-            out.update(map("".join, zip(part, part[1:])))
-            for wrong, right in ONE_BYTE:
-                raw = _raw(part, wrong)
-                if raw is not None:
-                    other = raw.decode(right, "ignore")
-                    out.update(other)
-                    out.update(map("".join, zip(other, other[1:])))
+            if (better := utf8_behind(m.group())) is not None:  # and their pairs with what stands beside them
+                part = t[max(0, m.start() - 1) : m.start()] + better + t[m.end() : m.end() + 1]
+                out.update((*part, *map("".join, zip(part, part[1:]))))
         return out
 
     def wanted(c, i):
         t = c["text"][i]
-        return pairs(t) if t and not t.isascii() else [NEVER]
+        return pairs(t) if t and not t.isascii() else ()
 
     def decide(c, i, scores):
         t = c["text"][i]

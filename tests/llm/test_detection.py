@@ -1,5 +1,8 @@
 """Cut, residual, garbled and noisy texts: planted cases, near misses, edge rows, and the joined route beside the broadcast."""
 
+import os
+
+import pyarrow.parquet as pq
 import pytest
 
 from folio.llm import encoding, residue, scan_noise, truncation
@@ -199,6 +202,41 @@ def test_frequent_one_byte_garbling(spark, wrong, copies):
     assert got == texts
 
 
+DOCUMENTS = "/root/testdata/sf0.01/documents.parquet"
+#: language, wrong, right
+GARBLINGS = (("ru", "cp1251", "koi8_r"), ("ru", "latin-1", "cp1251"), ("ru", "koi8_r", "cp1251"), ("ru", "cp1250", "cp1251"), ("ru", "cp1252", "cp866"), ("pl", "cp1252", "cp852"), ("pl", "cp1252", "cp1250"), ("fr", "cp1252", "mac_roman"))
+
+
+@pytest.mark.skipif(not os.path.exists(DOCUMENTS), reason="no test data")
+@pytest.mark.parametrize("language, wrong, right", GARBLINGS)
+def test_every_one_byte_mapping(language, wrong, right):
+    """Documents of one language, wrongly decoded in one way, as 0.1, 1 and 5 % of all: nine tenths are found, and no clean one."""
+    texts = pq.read_table(DOCUMENTS, columns=["text", "lang"]).to_pylist()
+    clean = list(dict.fromkeys(r["text"] for r in texts if r["text"] and r["text"].strip()))
+    spoken = [r["text"] for r in texts if r["lang"] == language and len(r["text"] or "") > 80]
+    garbled = {}
+    for t in spoken:
+        raw = t.encode(right, "ignore")
+        if raw.decode(right) == t and sum(map(len, encoding.RUN.findall(t))) >= 6:
+            garbled["".join(bytes([b]).decode(wrong, "ignore") or chr(b) for b in raw)] = t
+
+    def count(texts, found):
+        for rows in encoding._counts([{"text": texts}]):
+            for k, n in rows:
+                found[k] = found.get(k, 0) + n
+        return found
+
+    before = count(clean, {})
+    for share in (0.001, 0.01, 0.05):
+        some = dict(list(garbled.items())[: max(1, round(share * len(clean)))])
+        scores = encoding.PairScores(count(list(some), dict(before)))
+        got = [encoding.restore(g, scores) for g in some]
+        assert sum(f for f, _, _ in got) >= 0.9 * len(some), share
+        assert sum(r == t for (_, r, _), t in zip(got, some.values())) >= 0.75 * len(some), share
+    old = encoding.PairScores(before)
+    assert [t for t in clean if encoding.restore(t, scores)[0] and not encoding.restore(t, old)[0]] == []
+
+
 # ---- scanned pages -----------------------------------------------------------------------------------------------------
 
 
