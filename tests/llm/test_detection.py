@@ -74,6 +74,24 @@ def test_frequent_cut(spark, limit):
     assert got == {*range(100, 140), 200, 201}
 
 
+@pytest.mark.parametrize("limit", [None, 0])
+def test_no_full_stop(spark, limit):
+    """Complete texts without a closing mark are told from cut ones by where sentences end in the corpus, however many there are."""
+    ends = ("A fine chapter of the village", "It supports the narrow claim of the author", "The chapter hides the familiar metaphor")
+    rows = [(i, f"{body(i)} Remark {i} of the village.") for i in range(100)]
+    rows += [(200 + i, f"{'Indeed. ' * i}{body(i)} {ends[i % 3]}") for i in range(30)]  # complete
+    rows += [(300 + i, f"{'Well then. ' * i}{body(i)} The candid argument of {'the reader supports the'.rsplit(' ', i % 3)[0]}") for i in range(12)]  # cut between words
+    rows += [(400, body(1) + " The narrow comp"), (401, body(2) + " A stern warn")]
+    got = {r["output_id"] for r in truncation.find_cut(spark.createDataFrame(rows, "output_id long, text string"), limit=limit).collect()}
+    assert got == {*range(300, 312), 400, 401}
+
+
+def test_complete_share():
+    assert truncation.complete_share([]) == 0.5
+    assert truncation.complete_share([(-6.0, 900), (4.5, 100)]) == pytest.approx(0.1, abs=0.02)
+    assert truncation.complete_share([(-6.0, 10_000), (0.0, 40)]) < 0.01
+
+
 # ---- residue -----------------------------------------------------------------------------------------------------------
 
 RESIDUE = {
