@@ -1,18 +1,25 @@
 """Problem 1: text from scanned pages, repaired into continuous paragraphs.
 
-Decoding works on the de-lined character stream: where a line ends in a hyphen, the word goes on behind the line break
-(and behind the running lines of a page break). The forms that occur are segmented by a word model over the corpus: a
-form is kept, or read as one word with up to two confused characters, or as two words that were merged, whichever the
-frequencies make most probable. As the segmentation of a form doesn't depend on where it stands, each distinct form is
-decoded once, and its reading is applied wherever it occurs. Running headers, footers and page numbers are lines at the
-edge of a page that come again on other pages of the book (page numbers: that keep their distance to the page index),
-or that stand in the middle of a sentence. Paragraph boundaries are chosen by dynamic programming over the lines.
+The de-lined character stream (lines joined, words over line ends and page edges joined, running lines left out) is decoded
+by joint word segmentation: a lattice over the characters has an arc for each stretch that is a word of the corpus, or
+that a confusion of characters makes one, whether a space is printed inside it (split), missing at its ends (merge) or a
+hyphen and a line end lie in it. A path is worth as much as its rarest word occurs, divided by a ratio for every edit on
+it; the path of most worth is taken by dynamic programming, if it is worth more than the stream as it is printed. Worth
+is a ratio of frequencies throughout, so decoding is the same at every size of the corpus.
+
+The lattice is cut where no other path can win: between two words that are frequent in the corpus as they are printed no
+arc across is worth more than both. What lies between such cuts is a window: a single form, the two parts of a word at a
+line end, or a run of rare tokens with its neighbours. Each distinct window is decoded once, and its reading is applied
+wherever it occurs. Running headers, footers and page numbers are lines at the edge of a page that come again on other
+pages of the book (page numbers: that keep their distance to the page index), or that stand in the middle of a sentence.
+Paragraph boundaries are chosen by dynamic programming over the lines.
 
 No page or book is gathered: forms and edge lines are aggregated with partial counts, readings and the vocabulary are
-broadcast only if their size allows, else joined.
+broadcast only if their size allows, else their head is and the rest is joined.
 
 Results: null and blank texts have no noise and no paragraphs; repeated rows count once; a chapter without an end page
-reaches to the end of its book. A running line has no other kind.
+reaches to the end of its book. A running line has no other kind. No word is longer than LONGEST
+characters; a longer string is several words or left as it is.
 """
 
 from __future__ import annotations
@@ -57,9 +64,14 @@ LETTERS = re.compile(r"[^\W\d_]+")
 #: letters and more, and of fewer.
 ODD_RATIO, RATIO, SHORT_RATIO = 1.0, 25.0, 150.0
 KNOWN = 3
-#: No word of print is longer; longer strings without a space are no words and are left as they are.
+#: No word of print is longer: the reach of an arc of the lattice.
 LONGEST = 48
-MERGED_RATIO = 200.0
+#: The same for merged words, for a part of them of fewer than four letters or with a misread one (such parts fit in many
+#: places), and for words with a space inside.
+MERGED_RATIO, MORE_RATIO, SPLIT_RATIO = 50.0, 2.0, 50.0
+#: Tokens of at most such a share of all (or of KNOWN uses) may be parts of words, and how many in a row are looked at.
+FRAGMENT, RUN_LENGTH = 2e-5, 6
+ALL = "\x1fN"
 EDGE_LINES = 3
 SEP = "\x1f"
 
@@ -71,7 +83,7 @@ def core(token: str) -> str:
 def title_like(line: str) -> bool:
     """Whether a line could be a running header: short, without the end of a sentence, mostly capitalised."""
     s = line.strip()
-    if not 2 <= len(s) <= 100 or s[0].islower() or s[-1] in ".,;:!?-‐¬\xad=":
+    if len(s) < 2 or s[0].islower() or s[-1] in ".,;:!?-‐¬\xad=":
         return False
     words = [w for x in s.split() if (w := x.strip(EDGES)) and LETTERS.search(w)]
     if not words or SENTENCE_BREAK.search(s):
@@ -83,7 +95,7 @@ def title_like(line: str) -> bool:
 
 
 def number_like(line: str) -> bool:
-    m = NUMBER.match(line.strip()) if len(line) <= 24 else None
+    m = NUMBER.match(line.strip())
     return bool(m) and (any(c.isdigit() for c in m.group(1)) or bool(ROMAN.match(m.group(1).lower())))
 
 
@@ -98,7 +110,8 @@ def _break(lines: list[str], k: int) -> tuple[str, list[str], bool] | None:
     if not m:
         return None
     nexts, end = [], True
-    for line in lines[k + 1 : k + 12]:
+    for j in range(k + 1, len(lines)):
+        line = lines[j]
         if not line.strip():
             continue
         w = FIRST_WORD.match(line).group(1)
@@ -106,8 +119,6 @@ def _break(lines: list[str], k: int) -> tuple[str, list[str], bool] | None:
         if not (title_like(line) or number_like(line)):
             end = False
             break
-        if len(nexts) >= 4:
-            break
     return m.group(1).split()[-1].lstrip(EDGES), nexts, end
 
 
@@ -135,6 +146,8 @@ def _form_counts(batches):
 
 def variants(w: str) -> list[tuple[str, int]]:
     """Words that w may be a misreading of, with the number of confusions: one or two."""
+    if len(w) > LONGEST:
+        return []
     out: dict[str, int] = {}
     todo = [w]
     for depth in (1, 2):
@@ -164,8 +177,6 @@ def _bases(token: str) -> list[str]:
 
 
 def _wanted_of(form: str) -> set[str]:
-    if len(form) > LONGEST:
-        return set()
     if SEP in form:
         a, b = form.split(SEP)
         a, b = a.lower(), b.lower().strip(EDGES)
@@ -178,9 +189,8 @@ def _wanted_of(form: str) -> set[str]:
     for w in bases:
         out.add(w)
         out.update(v for v, _ in variants(w))
-        if len(w) >= 6:
-            for k in range(2, len(w) - 1):
-                out.update((w[:k], w[k:]))
+        if len(w) >= 6 and w.isalpha():
+            out |= _wanted_of_window(w)
     return out
 
 
@@ -188,7 +198,7 @@ def misread(w: str, n: int, found: dict) -> str | None:
     """The word that w is a misreading of."""
     odd = bool(ODD.search(w)) or any(c in w for c in "(|")
     ratio = ODD_RATIO if odd else RATIO if len(w) >= 4 else SHORT_RATIO
-    if len(w) < 2 or (len(w) == 2 and not odd and n * 1000 < 1):
+    if not 2 <= len(w) <= LONGEST or (len(w) == 2 and not odd and n * 1000 < 1):
         return None
     best, most = None, 0.0
     for v, k in variants(w):
@@ -201,8 +211,6 @@ def misread(w: str, n: int, found: dict) -> str | None:
 def reading(form: str, found: dict) -> str | None:
     """What a form is read as: "m" misread, "j" one word, "h" a compound, "n" no word goes on, "s" two merged words."""
     get = found.get
-    if len(form) > LONGEST:
-        return None
     if SEP in form:
         a, b = form.split(SEP)
         b = b.strip(EDGES)
@@ -233,33 +241,171 @@ def reading(form: str, found: dict) -> str | None:
     if right:
         return f"m{right}"
     w = bases[0]
-    if len(w) >= 6 and w.isalpha():
-        best = max(range(2, len(w) - 1), key=lambda k: min(get(w[:k], 0), get(w[k:], 0)))
-        if min(get(w[:best], 0), get(w[best:], 0)) >= MERGED_RATIO * max(1, n):
-            return f"s{w[:best]} {w[best:]}"
+    if w.isalpha():
+        if len(w) >= 6 and (path := segment(w, (), found, MERGED_RATIO * max(1, n))) and len(path[0]) > 1:
+            return f"s{' '.join(path[0])}"
+        if n <= max(KNOWN, FRAGMENT * get(ALL, 0)):
+            return "f"
     return f"o{w}" if ODD.search(w) and ")" not in form else None
 
 
-def readings(texts: DataFrame, limit: int | None = None) -> DataFrame:
-    """key (form), value (reading) of every form that isn't simply kept."""
+def segment(chars: str, spaces: tuple[int, ...], found, least: float) -> tuple[list[str], set[int]] | None:
+    """The words, and the places of their ends, of the path through the lattice of a window that is worth most, if that is worth least: spaces are the
+    places of printed spaces. An arc is a word of the corpus or, where words reach both its ends, the reading of a misread
+    one."""
+    n, get = len(chars), found.get
+    counts: dict[tuple[int, int], float] = {}
+
+    def arc(i: int, j: int) -> bool:
+        if (i, j) in counts:
+            return True
+        if j - i < 2 or (i == 0 and j == n and not spaces):  # a letter; the window as it is printed
+            return False
+        m = get(chars[i:j], 0)
+        if m >= least and spaces:
+            m /= SPLIT_RATIO ** max(0, sum(i < x < j for x in spaces) - 1)
+        if not spaces and j - i < 4:
+            m /= MORE_RATIO
+        if m >= least:
+            counts[i, j] = m
+            return True
+        return False
+
+    heads = {0}
+    for i in range(n - 1):  # only arcs that words reach from the start
+        if i in heads:
+            heads.update(j for j in range(i + 2, min(n, i + LONGEST) + 1) if arc(i, j))
+    path = _path(n, counts) if n in heads else None
+    if path is not None:
+        return [chars[i:j] for i, j in path], {j for _, j in path}
+    if not spaces and least > MERGED_RATIO * max(KNOWN, FRAGMENT * get(ALL, 0)):
+        return None  # a merged word with a misread character in it is rare
+    tails = {n}
+    for j in range(n, 1, -1):
+        if j in tails:
+            tails.update(i for i in range(max(0, j - LONGEST), j - 1) if arc(i, j))
+    confused = {}
+    for i in heads:
+        for j in tails:
+            if 4 <= j - i <= LONGEST and (i, j) not in counts and (j - i < n or spaces):
+                right = misread(chars[i:j], max(1, get(chars[i:j], 0)), found)
+                if right and get(right, 0) / MORE_RATIO >= least:
+                    confused[i, j] = right
+                    counts[i, j] = get(right, 0) / MORE_RATIO
+    path = _path(n, counts) if confused else None
+    return ([confused.get((i, j), chars[i:j]) for i, j in path], {j for _, j in path}) if path else None
+
+
+def _path(n: int, arcs: dict[tuple[int, int], float]) -> list[tuple[int, int]] | None:
+    """The path whose rarest word is most frequent; of several the one of fewest words."""
+    into: dict[int, list[tuple[int, float]]] = {}
+    for (i, j), m in arcs.items():
+        into.setdefault(j, []).append((i, m))
+    best: list[tuple[float, int, int]] = [(float("inf"), 0, -1)] + [(0.0, 0, -1)] * n  # worth, less words, start
+    for j in range(1, n + 1):
+        best[j] = max(((min(best[i][0], m), best[i][1] - 1, i) for i, m in into.get(j, ()) if best[i][0] > 0), default=best[j])
+    if best[n][0] <= 0:
+        return None
+    out, j = [], n
+    while j:
+        out.append((best[j][2], j))
+        j = best[j][2]
+    return out[::-1]
+
+
+def window_reading(window: str, found) -> str | None:
+    """What a run of tokens with printed spaces between them reads as: "w" and the words, "x" if a character is misread."""
+    tokens = window.split(" ")
+    chars, spaces, at = "".join(tokens), [], 0
+    for t in tokens[:-1]:
+        at += len(t)
+        spaces.append(at)
+    printed = min(found.get(t, 0) for t in tokens)
+    got = segment(chars, tuple(spaces), found, SPLIT_RATIO * max(1, printed))
+    if not got:
+        return None
+    path, ends = got
+    removed, missing = len(set(spaces) - ends), len(ends - set(spaces) - {len(chars)})
+    if not removed or missing > removed:
+        return None  # nothing was joined: such forms are read by themselves
+    return ("w" if "".join(path) == chars else "x") + " ".join(path)
+
+
+def windows_of(lines: list[str], found) -> list[tuple[int, int, int, str]]:
+    """(line, place of the first word, words on that line, window) of the runs of rare tokens, with the word before and the
+    one behind, that no mark divides; a run may go on in the next line."""
+    out = []
+    stream: list[tuple[int, int, str]] = []
+    broken = False
+    for k, line in enumerate(lines):
+        words = line.split()
+        if not words:
+            stream.append((k, 0, ""))
+            continue
+        # what goes on from a broken line is no word by itself
+        stream.extend((k, i, "" if broken and i == 0 else w) for i, w in enumerate(words))
+        broken = words[-1][-1] in HYPHEN_SET
+    n, i = len(stream), 0
+    joins = [stream[i][2][-1:].isalpha() and stream[i + 1][2][:1].isalpha() for i in range(n - 1)] + [False]
+    rare = [found.get(w, "") == "f" for _, _, w in stream]
+    while i < n:
+        if not rare[i]:
+            i += 1
+            continue
+        j = i
+        while j + 1 < n and rare[j + 1] and joins[j] and j + 1 - i < RUN_LENGTH:
+            j += 1
+        first, last = i - (i > 0 and joins[i - 1] and not rare[i - 1]), j + joins[j]
+        for a, b in {(first, last), (i, last), (first, j), (i, j)}:
+            if b > a:
+                k, at, _ = stream[a]
+                out.append((k, at, sum(x == k for x, _, _ in stream[a : b + 1]), " ".join(core(w) for _, _, w in stream[a : b + 1])))
+        i = j + 1
+    return out
+
+
+def _wanted_of_window(window: str) -> set[str]:
+    chars = window.replace(" ", "")
+    out = set(window.split(" "))
+    for i in range(len(chars) - 1):
+        for j in range(i + 2, min(len(chars), i + LONGEST) + 1):
+            out.add(chars[i:j])
+            if j - i >= 4:
+                out.update(v for v, _ in variants(chars[i:j]))
+    return out
+
+
+def readings(texts: DataFrame, limit: int | None = None) -> tuple[DataFrame, DataFrame]:
+    """key (form), value (reading) of every form that isn't simply kept, or that is so rare that it may be a part of a word
+    ("f"); and the lexicon: key (word), value (uses)."""
     raw = cut(map_rows(texts.select("text"), _form_counts, "form string, n long").groupBy("form").agg(F.sum("n").alias("n")))
 
     def words(batches):
         for c in batches:
             counted = [(_bases(f), n) for f, n in zip(c["form"], c["n"])]
             # every use of a word, and again those with doubtful marks at its edges
-            yield [(k, n) for b, n in counted if b[0] for k in (b[0], *([SEP + b[0]] if len(b) > 1 else []))]
+            yield [(k, n) for b, n in counted if b[0] for k in (b[0], *([SEP + b[0]] if len(b) > 1 else []))] + [(ALL, sum(c["n"]))]
 
     cores = map_rows(raw.where(f"n > 0 and length(form) <= {LONGEST}"), words, "key string, n long")
-    lexicon = cores.groupBy("key").agg(F.sum("n").alias("value"))
-    forms = raw.where(F.col("form").rlike(r"\p{L}") & (F.length("form") <= LONGEST))
+    lexicon = cut(cores.groupBy("key").agg(F.sum("n").alias("value")))
+    forms = raw.where(F.col("form").rlike(r"\p{L}"))
 
     def decide(c, i, found):
         r = reading(c["form"][i], found)
         return [(c["form"][i], r)] if r else []
 
-    more = {} if limit is None else {"limit": limit}
-    return with_lookup(forms.select("form"), lexicon, lambda c, i: _wanted_of(c["form"][i]), decide, "key string, value string", **more)
+    found = with_lookup(forms.select("form"), lexicon, lambda c, i: _wanted_of(c["form"][i]), decide, "key string, value string", limit, always=[ALL])
+    return cut(found), lexicon
+
+
+def window_readings(windows: DataFrame, lexicon: DataFrame, limit: int | None = None) -> DataFrame:
+    """key (window), value (reading) of every window that isn't read as it is printed."""
+
+    def decide(c, i, found):
+        r = window_reading(c["key"][i], found)
+        return [(c["key"][i], r)] if r else []
+
+    return with_lookup(windows.select("key").distinct(), lexicon, lambda c, i: _wanted_of_window(c["key"][i]), decide, "key string, value string", limit, always=[ALL])
 
 
 # ---- running lines -----------------------------------------------------------------------------------------------------
@@ -279,7 +425,7 @@ DIGIT_LOOKS = str.maketrans("lIoO|!SB", "11001158")
 def edge_keys(line: str, page: int) -> list[str]:
     """Keys under which the running line of another page meets this one."""
     s = line.strip()
-    m = NUMBER.match(s) if len(s) <= 24 else None
+    m = NUMBER.match(s)
     if m and any(c.isdigit() for c in m.group(1)):
         return [f"N{int(m.group(1).translate(DIGIT_LOOKS)) - page}"]
     if m and ROMAN.match(m.group(1).lower()):
@@ -314,8 +460,6 @@ def _edges(batches):
             top, bottom = lines[:EDGE_LINES], lines[max(EDGE_LINES, len(lines) - EDGE_LINES) :]
             for side, edge in (("t", top), ("b", bottom[::-1])):
                 for at, (k, x) in enumerate(edge):
-                    if len(x) > 100:
-                        break
                     keys = edge_keys(x, page)
                     if not keys:
                         break
@@ -333,7 +477,8 @@ def _edges(batches):
 def running_lines(pages: DataFrame, scanned: DataFrame) -> DataFrame:
     """book_id, page_idx, line_no, line of each running line. scanned: book_id, page_idx of pages with other noise, on
     which a title at the edge of the page that doesn't open a part of the book runs even if it doesn't come again."""
-    edges = map_rows(pages.select("book_id", "page_idx", "text"), _edges, "book_id long, page_idx int, line_no int, line string, keys array<string>, how string").distinct()
+    edges = map_rows(pages.select("book_id", "page_idx", "text"), _edges, "book_id long, page_idx int, line_no int, line string, keys array<string>, how string")
+    edges = cut(edges.distinct())  # read twice below
     keyed = edges.select("book_id", "page_idx", "line_no", "line", "how", F.explode("keys").alias("key"))
     # distinct pages of a key, counted in two steps with partial sums
     often = keyed.select("book_id", "key", "page_idx").distinct().groupBy("book_id", "key").agg(F.count(F.lit(1)).alias("n")).where("n >= 2").select("book_id", "key", F.lit(True).alias("again"))
@@ -356,7 +501,7 @@ def noisy_lines(text: str, found: dict) -> list[tuple[int, str]]:
         return out
     hyphens = bool(LINE_HYPHEN.search(text))
     for k, line in enumerate(lines):
-        if len(line) <= 100 and (number_like(line) or title_like(line)):
+        if number_like(line) or title_like(line):
             out.append((k, "line"))
     carried: dict[int, str] = {}  # lines whose first word belongs to the line before
     for k, line in enumerate(lines if suspects or hyphens else ()):
@@ -405,7 +550,8 @@ def noisy_lines(text: str, found: dict) -> list[tuple[int, str]]:
     return out
 
 
-RAW = "origin string, book_id long, unit_id int, line_no int, kind string, line string"
+#: line: the text of a line that may run, or a window; at, here: its first word, and how many of its words are on the line.
+RAW = "origin string, book_id long, unit_id int, line_no int, kind string, line string, at int, here int"
 
 
 def raw_noise(units: DataFrame, table_of_readings: DataFrame, limit: int | None = None) -> DataFrame:
@@ -425,16 +571,19 @@ def raw_noise(units: DataFrame, table_of_readings: DataFrame, limit: int | None
         if not t:
             return []
         head = (c["origin"][i], c["book_id"][i], c["unit_id"][i])
-        lines = None
-        out = []
-        for k, kind in noisy_lines(t, found):
-            if kind == "line" and lines is None:
-                lines = t.split("\n")
-            out.append((*head, k, kind, lines[k] if kind == "line" else None))
+        lines = t.split("\n")
+        out = [(*head, k, kind, lines[k] if kind == "line" else None, None, None) for k, kind in noisy_lines(t, found)]
+        out.extend((*head, k, "window", window, at, n) for k, at, n, window in windows_of(lines, found))
         return out
 
-    more = {} if limit is None else {"limit": limit}
-    return with_lookup(units, table_of_readings, wanted, decide, RAW, **more)
+    return with_lookup(units, table_of_readings, wanted, decide, RAW, limit)
+
+
+def read_windows(raw: DataFrame, lexicon: DataFrame, limit: int | None = None) -> DataFrame:
+    """origin, book_id, unit_id, line_no, at, here, key, value of every window that isn't read as it is printed. Windows
+    hold a rare token, so none of them is a hot key."""
+    windows = raw.where("kind = 'window'").select("origin", "book_id", "unit_id", "line_no", "at", "here", F.col("line").alias("key"))
+    return windows.join(window_readings(windows, lexicon, limit), "key")
 
 
 def units_of(pages: DataFrame, chapters: DataFrame) -> DataFrame:
@@ -446,7 +595,17 @@ def units_of(pages: DataFrame, chapters: DataFrame) -> DataFrame:
 def find_noise(pages: DataFrame, chapters: DataFrame, limit: int | None = None) -> DataFrame:
     """origin, book_id, unit_id, line_no, kind of each noisy line."""
     units = units_of(pages, chapters)
-    raw = cut(raw_noise(units, readings(units.select("text"), limit), limit))
+    read, lexicon = readings(units.select("text"), limit)
+    raw = cut(raw_noise(units, read, limit))
+    return noise_of(pages, chapters, raw, cut(read_windows(raw, lexicon, limit)))
+
+
+def noise_of(pages: DataFrame, chapters: DataFrame, raw: DataFrame, windows: DataFrame) -> DataFrame:
+    """The same of raw noise and windows already read."""
+    over = F.col("here") < F.size(F.split("key", " "))  # goes on in the next line
+    joined = F.size(F.split("value", " ")) < F.size(F.split("key", " "))
+    more = windows.select("origin", "book_id", "unit_id", "line_no", F.when(F.substring("value", 1, 1) == "x", "misread").when(over & joined, "split").alias("kind"))
+    raw = raw.where("kind <> 'window'").drop("at", "here").unionByName(more.where("kind is not null").withColumn("line", F.lit(None).cast("string")))
     scanned_pages = raw.where("origin = 'pages' and kind in ('split', 'misread')").select("book_id", F.col("unit_id").alias("page_idx")).distinct()
     running = cut(running_lines(pages, scanned_pages))
     on_pages = running.select(F.lit("pages").alias("origin"), "book_id", F.col("page_idx").alias("unit_id"), "line_no")
@@ -470,13 +629,40 @@ def find_noise(pages: DataFrame, chapters: DataFrame, limit: int | None = None)
 
 # ---- repaired text -----------------------------------------------------------------------------------------------------
 
-#: Costs of joining over, and of breaking at, the border of two lines; a paragraph's own cost; the most lines of one.
-JOIN_BLANK, JOIN_INDENT, JOIN_SHORT, BREAK_WORD, BREAK_SENTENCE, BREAK_SMALL, PARAGRAPH, REACH = 4.0, 3.0, 1.5, 8.0, 3.0, 4.0, 1.0, 200
-
-
-def repaired(text: str, running: set[int], found: dict) -> list[str]:
+#: Costs of joining over, and of breaking at, the border of two lines; a paragraph's own cost.
+JOIN_BLANK, JOIN_INDENT, JOIN_SHORT, BREAK_WORD, BREAK_SENTENCE, BREAK_SMALL, PARAGRAPH = 4.0, 3.0, 1.5, 8.0, 3.0, 4.0, 1.0
+
+
+def with_windows(lines: list[str], windows: list[tuple[int, int, str, str]]) -> list[str]:
+    """Lines with their windows, (line, place of the first word, window, reading), replaced."""
+    changed: dict[int, list[str]] = {}
+    for k, at, window, read in sorted(windows, key=lambda w: (w[0], w[1], -len(w[2])), reverse=True):
+        n = len(window.split(" "))
+        while n and k < len(lines):  # from the line it begins on to the next
+            words = changed.setdefault(k, lines[k].split())
+            old = words[at : at + n]
+            if [core(w) for w in old] != window.split(" ")[: len(old)]:
+                break  # a longer window has been read there
+            if len(old) == n or read:
+                new = read.split(" ") if read else []
+                if new and old:
+                    first, last = old[0], old[-1]
+                    lead, tail = first[: len(first) - len(first.lstrip(EDGES))], last[len(last.rstrip(EDGES)) :]
+                    if first.lstrip(EDGES)[:1].isupper():
+                        new[0] = new[0].upper() if first.isupper() and len(first) > 1 else new[0][:1].upper() + new[0][1:]
+                    new[0] = lead + new[0]
+                    if len(old) == n:
+                        new[-1] += tail
+                words[at : at + n] = new
+            window, read, n, at, k = " ".join(window.split(" ")[len(old) :]), "", n - len(old), 0, k + 1
+    return [" ".join(changed[k]) if k in changed else x for k, x in enumerate(lines)]
+
+
+def repaired(text: str, running: set[int], found, windows: list[tuple[int, int, str, str]] = ()) -> list[str]:
     """The paragraphs of a text without running lines, with broken words joined and misread ones read."""
     lines = text.split("\n")
+    if windows:
+        lines = with_windows(lines, windows)
     kept: list[tuple[str, bool, bool]] = []  # line, blank line before it, page edge before it
     blank = edge = False
     for k, line in enumerate(lines):
@@ -494,7 +680,7 @@ def repaired(text: str, running: set[int], found: dict) -> list[str]:
     carry = ""
     full = max(len(x.rstrip()) for x, _, _ in kept)
     for i, (line, _, _) in enumerate(kept):
-        words = [_read(w, found) for w in line.split()]
+        words = [w if carry and at == 0 else _read(w, found) for at, w in enumerate(line.split())]
         if carry and words:
             words[0] = carry + words[0]
             carry = ""
@@ -535,16 +721,15 @@ def repaired(text: str, running: set[int], found: dict) -> list[str]:
 
     n = len(kept)
     costs = [(0.0, 0.0), *(border(i) for i in range(1, n))]
-    best, back = [0.0] + [float("inf")] * n, [0] * (n + 1)
+    # joining costs add up, so the best start of a paragraph that ends at j is a running minimum: linear, without a bound
+    best, back, joined = [0.0] * (n + 1), [0] * (n + 1), 0.0
+    least, start = float("inf"), 0
     for j in range(1, n + 1):
-        inside = 0.0
-        for i in range(j - 1, max(-1, j - 1 - REACH), -1):
-            total = best[i] + costs[i][1] + PARAGRAPH + inside
-            if total < best[j]:
-                best[j], back[j] = total, i
-            inside += costs[i][0]
-            if inside > 3 * (JOIN_BLANK + BREAK_WORD):
-                break
+        joined += costs[j - 1][0]
+        here = best[j - 1] + costs[j - 1][1] - joined
+        if here <= least:
+            least, start = here, j - 1
+        best[j], back[j] = least + joined + PARAGRAPH, start
     cuts, j = [], n
     while j:
         cuts.append((back[j], j))
@@ -568,17 +753,21 @@ def _read(token: str, found: dict) -> str:
     return token
 
 
-def paragraphs(pages: DataFrame, chapters: DataFrame) -> DataFrame:
+def paragraphs(pages: DataFrame, chapters: DataFrame, limit: int | None = None) -> DataFrame:
     """origin, book_id, unit_id, par_no, text of every page and chapter that has text."""
-    units = units_of(pages, chapters).dropDuplicates(["origin", "book_id", "unit_id"])
-    read = cut(readings(units.select("text")))
+    units = units_of(pages, chapters)
+    read, lexicon = readings(units.select("text"), limit)
+    raw = cut(raw_noise(units, read, limit))
+    windows = cut(read_windows(raw, lexicon, limit))
     key = ["origin", "book_id", "unit_id"]
-    running = find_noise(pages, chapters).where("kind = 'running'").groupBy(*key).agg(F.collect_list("line_no").alias("running"))
-    whole = units.where("text is not null").join(running, key, "left")
+    running = noise_of(pages, chapters, raw, windows).where("kind = 'running'").groupBy(*key).agg(F.collect_list("line_no").alias("running"))
+    replaced = windows.groupBy(*key).agg(F.collect_set(F.struct("line_no", "at", F.col("key").alias("window"), F.expr("substring(value, 2)").alias("read"))).alias("windows"))
+    whole = units.where("text is not null").dropDuplicates(key).join(running, key, "left").join(replaced, key, "left")
 
     def wanted(c, i):
         lines = c["text"][i].split("\n")
-        kept = [x for k, x in enumerate(lines) if x.strip() and k not in set(c["running"][i] or ())]
+        gone = set(c["running"][i] or ())
+        kept = [x for k, x in enumerate(lines) if x.strip() and k not in gone]
         out = set(c["text"][i].split())
         for a, b in zip(kept, kept[1:]):
             if (m := BROKEN.search(a)) is not None:
@@ -586,10 +775,11 @@ def paragraphs(pages: DataFrame, chapters: DataFrame) -> DataFrame:
         return out
 
     def decide(c, i, found):
-        parts = repaired(c["text"][i], set(c["running"][i] or ()), found)
+        windows = [(w["line_no"], w["at"], w["window"], w["read"]) for w in c["windows"][i] or ()]
+        parts = repaired(c["text"][i], set(c["running"][i] or ()), found, windows)
         return [(c["origin"][i], c["book_id"][i], c["unit_id"][i], k, p) for k, p in enumerate(parts)]
 
-    return with_lookup(whole, read, wanted, decide, "origin string, book_id long, unit_id int, par_no int, text string")
+    return with_lookup(whole, read, wanted, decide, "origin string, book_id long, unit_id int, par_no int, text string", limit)
 
 
 def p1_found(spark, sf_dir: str) -> DataFrame:

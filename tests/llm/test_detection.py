@@ -311,7 +311,7 @@ def test_readings():
     found = {"times": 500, "cadence": 90, "well-worn": 60, "reader": 900, "the": 5000, "of": 5000}
     assert scan_noise.reading("timcs.", found) == "mtimes" and scan_noise.reading("caden(e", found) == "mcadence"
     assert scan_noise.reading("well\x1fworn", found) == "h" and scan_noise.reading("rea\x1fder", found) == "j"
-    assert scan_noise.reading("times", found) is None and scan_noise.reading("x" * 500, found) is None
+    assert scan_noise.reading("times", found) is None and scan_noise.reading("x" * 500, found) == "f"
     assert scan_noise.roman_value("xiv") == 14
 
 
@@ -327,5 +327,45 @@ def test_marks_at_any_scale(times):
 def test_marks_in_repeated_pages(spark, limit):
     once = ["An !nvitation to the (hapter.", "(The invitation stands!) " + "The invitation of the chapter stands. " * 30]
     for times in (1, 20):
-        got = dict(map(tuple, scan_noise.readings(spark.createDataFrame([(t,) for t in once * times], "text string"), limit).collect()))
+        got = dict(map(tuple, scan_noise.readings(spark.createDataFrame([(t,) for t in once * times], "text string"), limit)[0].where("value <> 'f'").collect()))
         assert got == {"!nvitation": "minvitation", "(hapter.": "mchapter"}
+
+
+PAGES = "/root/testdata/sf0.01/pages.parquet"
+
+
+@pytest.fixture(scope="module")
+def lexicon(spark):
+    read, words = scan_noise.readings(spark.read.parquet(PAGES).select("text"))
+    return dict(map(tuple, words.collect()))
+
+
+@pytest.mark.skipif(not os.path.exists(PAGES), reason="no test data")
+def test_splits_and_merges(lexicon):
+    """Frequent words with a space put in, runs of merged words, and both with a misread character."""
+    words = sorted((w for w in lexicon if w.isalpha() and w.isascii() and len(w) >= 5), key=lambda w: (-lexicon[w], w))[:200]
+    parts = [(w, w[: 2 + i % (len(w) - 3)], w[2 + i % (len(w) - 3) :]) for i, w in enumerate(words)]
+    broken = [(w, f"{a} {b}") for w, a, b in parts if not (lexicon.get(a, 0) > 3 and lexicon.get(b, 0) > 3)]
+    assert sum(scan_noise.window_reading(x, lexicon) == f"w{w}" for w, x in broken) >= 0.95 * len(broken) and len(broken) > 150
+    three = [words[i : i + 3] for i in range(len(words) - 3)]
+    assert sum(scan_noise.reading("".join(x), lexicon) == f"s{' '.join(x)}" for x in three) >= 0.9 * len(three)
+    wrong = [(x, "".join([x[0], x[1].replace("e", "c", 1), x[2]])) for x in three if "e" in x[1] and len(x[1]) > 5 and lexicon[x[1]] > 5 * scan_noise.MERGED_RATIO]
+    assert sum(scan_noise.reading(t, lexicon) == f"s{' '.join(x)}" for x, t in wrong) >= 0.8 * len(wrong) and len(wrong) > 20
+    long_ = words[:40]
+    assert scan_noise.reading("".join(long_), lexicon) == f"s{' '.join(long_)}"
+    assert all(scan_noise.reading(w, lexicon) is None for w in words)
+
+
+@pytest.mark.parametrize("limit", [None, 0])
+def test_split_repair(spark, limit):
+    """A word broken by spaces, on one line and over two, beside words that stand as they are printed."""
+    plain = "The candid argument of the reader supports the narrow claim of the village. " * 40
+    pages = [(1, k, plain) for k in range(4)] + [(2, 0, "The candid argu ment of the re ader supp\norts the narrow claim, of the vil lage."), (2, 1, "No th ing here.")]
+    got = [r["text"] for r in scan_noise.paragraphs(spark.createDataFrame(pages, "book_id long, page_idx int, text string"), spark.createDataFrame([], "book_id long, chapter_id int, start_page int, end_page int, text string"), limit).where("book_id = 2").orderBy("unit_id").collect()]
+    assert got == ["The candid argument of the reader supports the narrow claim, of the village.", "No th ing here."]
+
+
+def test_long_paragraph():
+    """A paragraph of any number of lines is one."""
+    lines = ["The candid argument of the reader supports the"] * 1000 + ["claim.", "", "Another paragraph of the village."]
+    assert [len(x.split()) for x in scan_noise.repaired("\n".join(lines), set(), {})] == [8001, 5]
