@@ -22,9 +22,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.common import map_rows
-from folio.session import table
+from folio.session import cut, table
 
-GROUP = 20_000
+#: Items of a group at most about (a parameter of pack), and parts that the rows of a run are joined in.
+GROUP, SALTS = 20_000, 32
 EXTRA = 2
 #: A container must hold a character of four bytes and the extra of a part.
 MIN_BUDGET = 4 + EXTRA
@@ -90,36 +91,43 @@ def divide(text: str, budget: int) -> list[tuple[int, int]]:
     return out
 
 
-PART = "output_id long, run_id string, book_id long, budget long, part_no int, byte_start long, byte_end long, cost long"
+PART = "output_id long, run_id string, book_id long, budget long, groups long, part_no int, byte_start long, byte_end long, cost long"
 PACKED = "run_id string, container string, output_id long, part_no int, byte_start long, byte_end long, cost long, budget long"
 
 
-def parts(outputs: DataFrame, manifests: DataFrame) -> DataFrame:
-    """The items to pack: whole outputs, and the parts of those above their run's budget."""
+def parts(outputs: DataFrame, manifests: DataFrame, group: int | None = None) -> DataFrame:
+    """The items to pack, with the number of groups of their run: whole outputs, and the parts of those above their run's
+    budget.
+
+    Runs are joined by (run_id, salt), so no task holds a large run, and nothing that grows with the runs is broadcast."""
+    group = group or GROUP
     budgets = manifests.where("run_id is not null").groupBy("run_id").agg(F.max("fold_budget_bytes").alias("budget"))
-    size = F.octet_length("text").cast("long")
-    rows = outputs.where(F.col("text").isNotNull() & ~F.col("text").rlike(BLANK)).select(
-        "output_id", "run_id", "book_id", size.alias("bytes"), "text"
-    )
-    over = (F.col("budget") >= MIN_BUDGET) & (F.col("bytes") + EXTRA > F.col("budget"))
-    # the texts stay behind: only sizes go through this join
-    narrow = rows.select("output_id", "run_id", "book_id", "bytes").dropDuplicates(["output_id"]).join(budgets, "run_id", "left")
+    rows = outputs.where(F.col("text").isNotNull() & ~F.col("text").rlike(BLANK)).select("output_id", "run_id", "book_id", F.octet_length("text").cast("long").alias("bytes"), "text")
+    # the texts stay behind: only sizes go through these joins, and they are written down, as they are read twice
+    narrow = cut(rows.select("output_id", "run_id", "book_id", "bytes").dropDuplicates(["output_id"]))
     usable = F.when(F.col("budget") >= MIN_BUDGET, F.col("budget"))
-    whole = narrow.where(~F.coalesce(over, F.lit(False))).select(
-        "output_id", "run_id", "book_id", usable.alias("budget"), F.lit(0).alias("part_no"), F.lit(0).cast("long").alias("byte_start"), F.col("bytes").alias("byte_end"), (F.col("bytes") + EXTRA).alias("cost")
-    )
+    # at most so many items: each output, and one more for every budget its run's bytes fill
+    items = F.col("n") + F.coalesce(F.col("total") / (usable - EXTRA), F.lit(0.0))
+    sums = narrow.groupBy("run_id").agg(F.count(F.lit(1)).alias("n"), F.sum("bytes").alias("total"))
+    runs = sums.join(budgets.hint("merge"), "run_id").select("run_id", usable.alias("budget"), F.ceil(items / group).alias("groups"))
+    salted = runs.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    given = cut(narrow.withColumn("part", F.pmod(F.xxhash64("output_id"), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), ["run_id", "part"], "left").drop("part"))
+    over = F.coalesce(F.col("bytes") + EXTRA > F.col("budget"), F.lit(False))
+    zero = F.lit(0).cast("long")
+    whole = given.where(~over).select("output_id", "run_id", "book_id", "budget", "groups", F.lit(0).alias("part_no"), zero.alias("byte_start"), F.col("bytes").alias("byte_end"), (F.col("bytes") + EXTRA).alias("cost"))
     # only texts above the least budget can be above their own
-    least = budgets.where(F.col("budget") >= MIN_BUDGET).agg(F.min("budget").alias("least"))  # one row
-    large = rows.join(F.broadcast(least), rows.bytes + EXTRA > F.col("least")).join(budgets, "run_id").where(over).dropDuplicates(["output_id"])
+    least = budgets.where(F.col("budget") >= MIN_BUDGET).agg(F.min("budget")).first()[0] or 0
+    texts = rows.where(F.col("bytes") + EXTRA > least).select("output_id", "text").dropDuplicates(["output_id"])
+    large = given.where(over).join(texts.hint("merge"), "output_id")
 
     def run(batches):
         for c in batches:
             out = []
-            for o, r, b, w, t in zip(c["output_id"], c["run_id"], c["book_id"], c["budget"], c["text"]):
-                out.extend((o, r, b, w, k, s, e, e - s + EXTRA) for k, (s, e) in enumerate(divide(t, w)))
+            for o, r, b, w, g, t in zip(c["output_id"], c["run_id"], c["book_id"], c["budget"], c["groups"], c["text"]):
+                out.extend((o, r, b, w, g, k, s, e, e - s + EXTRA) for k, (s, e) in enumerate(divide(t, w)))
             yield out
 
-    return whole.unionByName(map_rows(large.select("output_id", "run_id", "book_id", "budget", "text"), run, PART))
+    return whole.unionByName(map_rows(large.select("output_id", "run_id", "book_id", "budget", "groups", "text"), run, PART))
 
 
 def _pack(batches):
@@ -142,12 +150,15 @@ def _pack(batches):
         yield packed()
 
 
-def pack(outputs: DataFrame, manifests: DataFrame) -> DataFrame:
+def pack(outputs: DataFrame, manifests: DataFrame, group: int | None = None) -> DataFrame:
     """run_id, container, output_id, part_no, byte_start, byte_end, cost, budget of each item."""
-    items = parts(outputs, manifests)
-    counted = items.groupBy("run_id").agg(F.ceil(F.count(F.lit(1)) / GROUP).alias("groups"))
-    salted = items.where("budget is not null").join(counted, "run_id").withColumn("salt", F.pmod(F.xxhash64("output_id", "part_no"), "groups"))
-    placed = salted.select("run_id", "salt", "output_id", "part_no", "byte_start", "byte_end", "cost", "budget").repartition("run_id", "salt")
+    group = group or GROUP
+    items = cut(parts(outputs, manifests, group))
+    spark = outputs.sparkSession
+    # a given number of tasks: small rows would be merged into one task, which then packs all runs
+    tasks = max(spark.sparkContext.defaultParallelism, -(-items.count() // (4 * group)))
+    salted = items.where("budget is not null").withColumn("salt", F.pmod(F.xxhash64("output_id", "part_no"), "groups"))
+    placed = salted.select("run_id", "salt", "output_id", "part_no", "byte_start", "byte_end", "cost", "budget").repartition(tasks, "run_id", "salt")
     packed = map_rows(placed.sortWithinPartitions("run_id", "salt", "output_id", "part_no"), _pack, PACKED)
     none = items.where("budget is null").select("run_id", F.lit(None).cast("string").alias("container"), "output_id", "part_no", "byte_start", "byte_end", "cost", "budget")
     return packed.unionByName(none)
