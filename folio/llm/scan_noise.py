@@ -337,13 +337,17 @@ def windows_of(lines: list[str], found) -> list[tuple[int, int, int, str]]:
     out = []
     stream: list[tuple[int, int, str]] = []
     broken = False
+    has = [any(found.get(w, "") == "f" for w in line.split()) for line in lines]
     for k, line in enumerate(lines):
         words = line.split()
         if not words:
             stream.append((k, 0, ""))
             continue
-        # what goes on from a broken line is no word by itself
-        stream.extend((k, i, "" if broken and i == 0 else w) for i, w in enumerate(words))
+        if has[k]:
+            # what goes on from a broken line is no word by itself
+            stream.extend((k, i, "" if broken and i == 0 else w) for i, w in enumerate(words))
+        else:  # a line without a rare token has at most a neighbour of one at its ends
+            stream += [(k, 0, "" if broken else words[0]), (k, 1, ""), (k, len(words) - 1, words[-1])] if len(words) > 1 else [(k, 0, "" if broken else words[0])]
         broken = words[-1][-1] in HYPHEN_SET
     n, i = len(stream), 0
     joins = [stream[i][2][-1:].isalpha() and stream[i + 1][2][:1].isalpha() for i in range(n - 1)] + [False]
@@ -496,7 +500,7 @@ def noisy_lines(text: str, found: dict) -> list[tuple[int, str]]:
     """(line, kind): misread, split; weak kinds that need other noise beside them: compound, odd; line: might be running."""
     lines = text.split("\n")
     out: list[tuple[int, str]] = []
-    suspects = {w for w in set(text.split()) if w in found}
+    suspects = {w for w in set(text.split()) if found.get(w, "f") != "f"}
     if not suspects and len(lines) < 2:
         return out
     hyphens = bool(LINE_HYPHEN.search(text))
@@ -573,7 +577,8 @@ def raw_noise(units: DataFrame, table_of_readings: DataFrame, limit: int | None
         head = (c["origin"][i], c["book_id"][i], c["unit_id"][i])
         lines = t.split("\n")
         out = [(*head, k, kind, lines[k] if kind == "line" else None, None, None) for k, kind in noisy_lines(t, found)]
-        out.extend((*head, k, "window", window, at, n) for k, at, n, window in windows_of(lines, found))
+        if any(found.get(w, "") == "f" for w in set(t.split())):
+            out.extend((*head, k, "window", window, at, n) for k, at, n, window in windows_of(lines, found))
         return out
 
     return with_lookup(units, table_of_readings, wanted, decide, RAW, limit)
