@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from folio.llm.common import Found, map_rows, with_lookup
 from folio.llm.residue_exemplars import NOTICES, PLACEHOLDERS
-from folio.session import table
+from folio.session import cut, table
 
 WORDS = re.compile(r"[^\W\d_]+").findall
 PASSAGE = re.compile(r"(?<=[.!?…;:])\s+|\n+|</?\w+[^<>]*>")
@@ -116,7 +116,7 @@ def _counter(every: frozenset[str]):
 
 def document_counts(texts: DataFrame, every: frozenset[str]) -> DataFrame:
     """key, value: number of content texts of each word and of all (COUNT); below 0 if the word is learned filler."""
-    rows = map_rows(texts.select("text"), _counter(every), "key string, n long, s long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    rows = cut(map_rows(texts.select("text"), _counter(every), "key string, n long, s long").groupBy("key").agg(F.sum("n").alias("n"), F.sum("s").alias("s")))
     filler = (F.col("s") >= SEED_TEXTS) & (F.col("s") >= SEED_SHARE * (F.col("n") + F.col("s")))
     # the scalar of one row: below a share of all texts no word needs an entry
     least = rows.where(F.col("key") == COUNT).agg((F.coalesce(F.max("n"), F.lit(0)) / RARE).alias("least"))
@@ -161,9 +161,9 @@ class Judge:
             x = self.memo[w] = (max(0.05, self.rare if count <= self.n / RARE else math.log((self.n + 1) / (count + 0.5)) if self.n > 1 else 1.0), posts)
         return x
 
-    def asks(self, span: str) -> bool:
-        """Whether a marked span is an unfilled placeholder: contained in an exemplar with its marks."""
-        candidates = self.forms.get(marks(span))
+    def asks(self, span: str, mark: str) -> bool:
+        """Whether a span with such marks is an unfilled placeholder: contained in an exemplar with them."""
+        candidates = self.forms.get(mark)
         if not candidates:
             return False
         if None in candidates:
@@ -175,14 +175,14 @@ class Judge:
         return max(sum(x for w, x in zip(words, weights) if w in e) for e in candidates) >= ASKED * sum(weights)
 
     def placeholder(self, text: str) -> bool:
-        if any(h in text for h in HINTS) and any(not _quoted(text, *m.span()) and self.asks(m.group()) for m in MARKED.finditer(text)):
+        if any(h in text for h in HINTS) and any(not _quoted(text, *m.span()) and self.asks(m.group(), marks(m.group())) for m in MARKED.finditer(text)):
             return True
-        return ("[" in text or "<" in text or "(" in text) and any(not _quoted(text, *m.span()) and self.asks(m.group()) for m in BRACKET.finditer(text))
+        return ("[" in text or "<" in text or "(" in text) and any(not _quoted(text, *m.span()) and self.asks(x := m.group(), x[0] + x[-1]) for m in BRACKET.finditer(text))
 
     def contained(self, entries: list[tuple[float, tuple[int, ...]]], total: float) -> bool:
         """Whether the best exemplar of a window, with the best next one of its label, contains it."""
         # all exemplars together hold no less than two of them
-        if sum(x for x, posts in entries if posts) < CONTAINED * total:
+        if sum([x for x, posts in entries if posts]) < CONTAINED * total:
             return False
         by: dict[int, float] = {}
         for x, posts in entries:
@@ -202,21 +202,23 @@ class Judge:
 
     def covered(self, text: str) -> float:
         """Share of the text in windows that exemplars contain: of its weight or of its words, whichever is less."""
-        whole = inside = 0.0
-        n = n_inside = 0
         if "<" in text:  # markup around a message is part of it
             text = TAGS.sub("\n", text)
-        for passage in PASSAGE.split(text):
-            words = WORDS(passage.lower())
-            if not words:
-                continue
-            entries = [self.entry(w) for w in words]
+        windows = [words for passage in PASSAGE.split(text) if (words := WORDS(passage.lower()))]
+        n, n_inside, left = sum(map(len, windows)), 0, (1 - COVERED) * sum(map(len, windows))
+        whole = inside = 0.0
+        known, entry = self.memo.get, self.entry
+        for words in windows:
+            entries = [known(w) or entry(w) for w in words]
             total = sum([x for x, _ in entries])
             whole += total
-            n += len(words)
             if self.contained(entries, total) or (len(words) >= REPEATED_WORDS and len(set(words)) <= REPEATED_SHARE * len(words)):
                 inside += total
                 n_inside += len(words)
+            else:
+                left -= len(words)
+                if left < 0:  # the rest can't cover the text any more
+                    return 0.0
         return min(inside / whole, n_inside / n) if n else 0.0
 
     def residue(self, text: str) -> bool:
