@@ -65,6 +65,8 @@ GAIN, LEFT_OVER, PAIRS = 0.15, 0.3, 3
 #: Log ratios of frequencies: what is added to each count, the most a pair tells, the least sum and the least mean over the
 #: changed pairs from which a mapping explains lines, and the fall at which a segment isn't extended further.
 SMOOTH, MOST, LEAST_GAIN, MEAN_GAIN, DROP = 0.5, 6.0, 6.0, 0.5, 4.0
+#: A line whose mappings can't reach such a sum is left aside.
+LEAST_LINE = 4.0
 #: Share of what segments touch that must read as UTF-8 before other mappings are left aside.
 EXPLAINED = 0.34
 QUOTED = 8
@@ -216,6 +218,8 @@ class PairScores:
         self.found, self.n = found, max(1, found.get(NEVER, 1))
         self.memo: dict[str, float] = {}
         self.deltas: dict[str, np.ndarray] = {}
+        self.peaks: dict[str, float] = {}
+        self.good: set[str] = set()
 
     def information(self, pair: str) -> float:
         """Mutual information of a pair, shrunk by the texts it rests on. No print holds a mark of replacement in a word."""
@@ -255,11 +259,31 @@ class PairScores:
 
     def gains(self, line: str) -> tuple[np.ndarray, np.ndarray]:
         """Per one-byte mapping the sum of a line's deltas, and how many of its pairs it changes."""
-        pairs = [self.delta(p) for p in _pairs(line)]
-        if not pairs:
-            return _NONE, _NONE
-        every = np.array(pairs)
-        return every.sum(0), np.count_nonzero(every, 0)
+        every = np.array([self.delta(p) for p in _pairs(line)])
+        return (every.sum(0), np.count_nonzero(every, 0)) if len(every) else (_NONE, _NONE)
+
+    def normal(self, line: str) -> tuple[bool, bool]:
+        """Whether no pair of a line is improbable, and whether no mapping could make its pairs more frequent: a bound on its
+        sum of deltas. Pairs known to be both are left out first."""
+        pairs = _pairs(line)
+        other = set(pairs) - self.good
+        if not other:
+            return True, True
+        probable, total = True, 0.0
+        for pair in other:
+            peak = self.peaks.get(pair)
+            if peak is None:
+                if len(self.peaks) > 500_000:
+                    self.peaks.clear()
+                    self.good.clear()
+                peak = self.peaks[pair] = max(0.0, float(self.delta(pair).max()))
+            improbable = self.information(pair) < IMPROBABLE
+            if not improbable and peak == 0:
+                self.good.add(pair)
+            probable = probable and not improbable
+            if peak:
+                total += peak * pairs.count(pair)
+        return probable, total < LEAST_LINE
 
     def segments(self, line: str, mapping: int | None = None) -> list[tuple[int, int]]:
         """Maximal segments, as character ranges of a line: of improbable pairs, or of pairs that a mapping makes more
@@ -302,10 +326,8 @@ class PairScores:
         return bad, n
 
 
-def _pairs(line: str):
-    for m in RUN.finditer(line):
-        part = line[max(0, m.start() - 1) : m.end() + 1]
-        yield from map("".join, zip(part, part[1:]))
+#: The adjacent pairs of a line of which at least one isn't ASCII.
+_pairs = re.compile(r"(?=([^\x00-\x7f][\s\S]|[\x00-\x7f][^\x00-\x7f]))").findall
 
 
 @lru_cache(maxsize=1)
@@ -418,12 +440,15 @@ def restore(text: str, scores: PairScores) -> tuple[bool, str, bool]:
     for k, line in enumerate(lines):
         if line.isascii() and "?" not in line:
             continue
+        probable, kept = scores.normal(line)
+        if probable and kept and "?" not in line:
+            continue
         parts = scores.segments(line)
         better, good = _utf8(line, parts) if parts else (line, False)
         if good:
             found, lines[k] = True, better
             parts = scores.segments(better)
-        elif not line.isascii() and (parts or scores.gains(line)[0].max() > 0):
+        elif not line.isascii() and (parts or not kept):
             suspects.append((k, parts, better))
         lost = lost or _lost(lines[k], parts)
     if suspects:
