@@ -107,6 +107,30 @@ def collapse_spacing(c: Column | str) -> Column:
     return F.regexp_replace(col(c), r"(?<!\S)(\S) (?=\S(?!\S))", "$1")
 
 
+def spaced_text(ops: Column) -> Column:
+    """TXT-9: the text of a page from its operators in order, an array of struct(op, a, b, text).
+
+    Td, TD move by (a, b): a move up or down by more than half a point, or right by more than a quarter of the font's
+    size, is a space; T*, Tm, cm and BT are one. Tf sets the font's size (b). TJ shows pieces: one with a text shows it
+    as it stands, one without kerns by a, and a kerning below -15 times the size, and below -120, is a space. Tj shows a
+    text without the white space at its ends, and ' and \" do the same behind a space. No text opens with a space."""
+    start = F.struct(F.lit("").alias("t"), F.lit(12.0).alias("font"), F.lit(False).alias("gap"))
+
+    def step(s: Column, x: Column) -> Column:
+        op, font = x["op"], s["font"]
+        moved = op.isin("Td", "TD") & ((F.abs(x["b"]) > 0.5) | (x["a"] > 0.25 * font))
+        kerned = (op == "TJ") & x["text"].isNull() & (x["a"] < F.least(-15.0 * font, F.lit(-120.0)))
+        gap = s["gap"] | moved | kerned | op.isin("T*", "Tm", "cm", "BT", "'", '"')
+        shown = F.when(op == "TJ", x["text"]).when(op.isin("Tj", "'", '"'), F.trim(x["text"]))
+        shows = F.coalesce(shown != "", F.lit(False))
+        space = F.when(gap & (s["t"] != "") & ~s["t"].endswith(" "), " ").otherwise("")
+        return F.struct(
+            F.when(shows, F.concat(s["t"], space, shown)).otherwise(s["t"]).alias("t"), F.when((op == "Tf") & x["b"].isNotNull(), F.abs(x["b"])).otherwise(font).alias("font"), (gap & ~shows).alias("gap")
+        )
+
+    return F.aggregate(ops, start, step, lambda s: s["t"])
+
+
 def count_mentions(c: Column | str, keyword: Column | str) -> Column:
     """TXT-7: literal, case-insensitive, non-overlapping; an empty keyword counts 0, a null text 0."""
     return mentions_in(F.lower(F.coalesce(col(c), F.lit(""))), keyword)

@@ -11,8 +11,11 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from folio.functions.text import col, tail_chars, token_estimate, trim_all, truncate_bytes
-from folio.operators.packing import paragraph_pieces
+from folio.functions.text import col, token_estimate, trim_all, truncate_bytes
+from folio.operators.arrow import map_rows
+from folio.operators.ordered import running_count
+from folio.operators.packing import split_paragraphs
+from folio.session import cut
 
 #: Patterns of headings in the order they are tried (fixed values), and how much of a page they are sought in.
 HEADINGS = (
@@ -38,17 +41,6 @@ def distinct_pages(pages: DataFrame) -> DataFrame:
     return pages.where("book_id is not null and page_idx is not null").groupBy("book_id", "page_idx").agg(F.max(F.coalesce("text", F.lit(""))).alias("text"))
 
 
-def running_count(df: DataFrame, key: str, order: str, flag: str, out: str, block: int = BLOCK) -> DataFrame:
-    """How many flagged rows of the key come up to each row, by integer order; two levels of blocks instead of one window."""
-    blocked = df.withColumn("__b", F.floor(F.col(order) / block))
-    inner = W.partitionBy(key, "__b").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    sums = blocked.groupBy(key, "__b").agg(F.sum(F.col(flag).cast("long")).alias("__s"))
-    outer = W.partitionBy(key).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
-    before = sums.select(key, "__b", F.coalesce(F.sum("__s").over(outer), F.lit(0)).alias("__before"))
-    counted = blocked.withColumn("__in", F.sum(F.col(flag).cast("long")).over(inner))
-    return counted.join(before, [key, "__b"]).withColumn(out, F.col("__in") + F.col("__before")).drop("__b", "__in", "__before")
-
-
 def boundaries(pages: DataFrame, patterns: tuple[str, ...] = HEADINGS) -> DataFrame:
     """CHP-1: book_id, page_idx, title of each page with a heading."""
     return distinct_pages(pages).select("book_id", "page_idx", heading("text", patterns).alias("title")).where("title is not null")
@@ -57,7 +49,7 @@ def boundaries(pages: DataFrame, patterns: tuple[str, ...] = HEADINGS) -> DataFr
 def assemble(pages: DataFrame, patterns: tuple[str, ...] = HEADINGS) -> DataFrame:
     """CHP-2, CHP-3, WIN-5: book_id, chapter_id, title, start_page, end_page, text, approx_tokens."""
     rows = distinct_pages(pages).withColumn("title", heading("text", patterns))
-    marked = running_count(rows.withColumn("__f", F.col("title").isNotNull()), "book_id", "page_idx", "__f", "ordinal")
+    marked = running_count(rows.withColumn("__f", F.col("title").isNotNull()), "book_id", "page_idx", "__f", "ordinal", BLOCK).drop("__f")
     several = rows.groupBy("book_id").agg((F.count("title") > 1).alias("several"))
     ordinal = F.when(F.col("several"), F.col("ordinal")).otherwise(0)
     placed = marked.join(several, "book_id").withColumn("ordinal", ordinal)
@@ -71,20 +63,36 @@ def assemble(pages: DataFrame, patterns: tuple[str, ...] = HEADINGS) -> DataFram
 
 def pieces(chapters: DataFrame, max_tokens: int, overlap_tokens: int) -> DataFrame:
     """CHP-4, CHP-5, WIN-4: chapters cut to two bytes a token; each piece of a book after the first opens with the tail
-    of the piece before, as context."""
-    most = max(2 * max_tokens, 100)
-    cut_ = paragraph_pieces(chapters, ["book_id", "ordinal", "title", "start_page", "end_page"], most)
-    per = cut_.groupBy("book_id", "ordinal").agg(F.count(F.lit(1)).alias("n"), F.max_by("piece", "part_no").alias("last"))
+    of the piece before, as context. With a column max_tokens each book is cut to each of its budgets there."""
+    if "max_tokens" not in chapters.columns:
+        return pieces(chapters.withColumn("max_tokens", F.lit(max_tokens).cast("long")), max_tokens, overlap_tokens).drop("max_tokens")
+    tail = 2 * overlap_tokens
+
+    def run(batches):
+        """Each piece with the end of the one before it in its chapter, how many there are, and the end of the last one."""
+        for c in batches:
+            out = []
+            for x, b, o, title, s, e, t in zip(c["max_tokens"], c["book_id"], c["ordinal"], c["title"], c["start_page"], c["end_page"], c["text"]):
+                most = max(2 * x, 100)
+                parts = [t] if len(t.encode()) <= most else split_paragraphs(t, most)
+                ends = [p[-tail:] if tail else "" for p in parts]
+                out.extend((x, b, o, title, s, e, k, p, ends[k - 1] if k else None, len(parts), ends[-1]) for k, p in enumerate(parts))
+            yield out
+
+    kinds = {f.name: f.dataType.simpleString() for f in chapters.schema}
+    ddl = ", ".join(f"{n} {kinds[n]}" for n in ("max_tokens", "book_id", "ordinal", "title", "start_page", "end_page")) + ", part_no int, piece string, tail string, n int, last string"
+    # the pieces are read twice, and cut once
+    cut_ = cut(map_rows(chapters.where("text is not null and max_tokens is not null").select("max_tokens", "book_id", "ordinal", "title", "start_page", "end_page", "text"), run, ddl))
     # the piece before the first of a chapter is the last of the chapter before; chapters are far fewer than pages
-    order = W.partitionBy("book_id").orderBy("ordinal")
-    chain = per.select("book_id", "ordinal", "n", F.lag(tail_chars("last", 2 * overlap_tokens)).over(order).alias("carry"), (F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1))).alias("ids"))
-    before = cut_.select("book_id", "ordinal", (F.col("part_no") + 1).alias("part_no"), tail_chars("piece", 2 * overlap_tokens).alias("tail"))
-    joined = cut_.join(before, ["book_id", "ordinal", "part_no"], "left").join(chain, ["book_id", "ordinal"])
+    order = W.partitionBy("book_id", "max_tokens").orderBy("ordinal")
+    first = cut_.where("part_no = 0").select("max_tokens", "book_id", "ordinal", "n", "last")
+    chain = first.select("max_tokens", "book_id", "ordinal", F.lag("last").over(order).alias("carry"), F.sum("n").over(order.rowsBetween(W.unboundedPreceding, -1)).alias("ids"))
+    joined = cut_.join(chain, ["max_tokens", "book_id", "ordinal"])
     context = F.when(F.col("part_no") > 0, F.col("tail")).otherwise(F.col("carry"))
     text = F.when(context.isNull() | F.lit(overlap_tokens == 0), F.col("piece")).otherwise(F.concat(F.lit(CONTEXT_OPEN), context, F.lit(CONTEXT_CLOSE), F.col("piece")))
     title = F.when(F.col("n") > 1, F.concat("title", F.lit(" (part "), (F.col("part_no") + 1).cast("string"), F.lit(")"))).otherwise(F.col("title"))
     return joined.select(
-        "book_id", (F.coalesce("ids", F.lit(0)) + F.col("part_no")).cast("int").alias("chapter_id"), title.alias("title"), "start_page", "end_page", text.alias("text"), token_estimate(text).alias("approx_tokens")
+        "max_tokens", "book_id", (F.coalesce("ids", F.lit(0)) + F.col("part_no")).cast("int").alias("chapter_id"), title.alias("title"), "start_page", "end_page", text.alias("text"), token_estimate(text).alias("approx_tokens")
     )
 
 

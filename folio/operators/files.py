@@ -50,6 +50,47 @@ def whole(listing: DataFrame) -> DataFrame:
     return listing.where(~F.col("filename").endswith(".part")).join(part, ["repo", "filename"], "left_anti")
 
 
+def cached(listing: DataFrame) -> DataFrame:
+    """SRC-13: repo, shards and bytes of the sets of weight files that are there whole: a set in which one file is still
+    being written (name.part), or that has no weight file, isn't there."""
+    rows = listing.where(F.col("filename").rlike(r"(\.gguf|\.gguf\.\d+)$")).select("repo", "filename", "size")
+    part = listing.where(F.col("filename").endswith(".part")).select("repo", F.expr("substring(filename, 1, length(filename) - 5)").alias("filename"))
+    broken = rows.join(part, ["repo", "filename"], "left_semi").select("repo").distinct()
+    return rows.join(broken, "repo", "left_anti").groupBy("repo").agg(F.count(F.lit(1)).alias("shards"), F.sum("size").alias("bytes"))
+
+
+def first_weight_file(listing: DataFrame) -> DataFrame:
+    """LIM-1: the first weight file of each folder, by name."""
+    return listing.where(F.lower("filename").endswith(".gguf")).groupBy("repo").agg(F.min("filename").alias("filename"))
+
+
+def choose_asset(assets: DataFrame, wanted: str, fallback: str, prefix: str, suffix: str = ".zip") -> DataFrame:
+    """PER-7: per release its first asset, by place, whose name has the prefix, the suffix and the wanted word; else with the
+    fallback word; a release without either has no row. assets: release, ord, name."""
+    fits = assets.where(F.col("name").startswith(prefix) & F.col("name").endswith(suffix))
+    rank = F.when(F.col("name").contains(wanted), 0).when(F.col("name").contains(fallback), 1)
+    return fits.withColumn("rank", rank).where("rank is not null").groupBy("release").agg(F.min(F.struct("rank", "ord", "name"))["name"].alias("name"))
+
+
+def upsert(state: DataFrame, changes: DataFrame, key: str, order: str) -> DataFrame:
+    """PER-12: state after changes in order: the last one of a key decides; op is put (its row replaces the key's or is
+    added), reset (the key's row stays with done 0 and complete false; nothing without one) or remove.
+
+    state: key, done, complete; changes: key, order, op, done, complete. A reset behind a put or remove acts on it, so only
+    the last put or remove of a key and the resets behind it matter."""
+    solid = F.when(F.col("op") != "reset", F.col(order))
+    last = changes.groupBy(key).agg(
+        F.max(solid).alias("at"), F.max_by("op", solid).alias("op"), F.max_by("done", solid).alias("new_done"), F.max_by("complete", solid).alias("new_complete"),
+        F.max(F.when(F.col("op") == "reset", F.col(order))).alias("reset"),
+    )
+    both = state.join(last, key, "full_outer")
+    was_reset = F.coalesce(F.col("reset") > F.coalesce("at", F.lit(-1)), F.lit(False))
+    put = F.col("op") == "put"
+    there = F.when(F.col("op").isNotNull(), put).otherwise(F.col("complete").isNotNull())
+    done, complete = F.when(put, F.col("new_done")).otherwise(F.col("done")), F.when(put, F.col("new_complete")).otherwise(F.col("complete"))
+    return both.where(there).select(key, F.when(was_reset, 0).otherwise(done).cast("long").alias("done"), (complete & ~was_reset).alias("complete"))
+
+
 def library(listing: DataFrame) -> DataFrame:
     """SRC-10, SET-7, SRT-1: distinct weight files by name with their size in MB."""
     mb = F.floor(F.max("size") / 1048576)

@@ -6,6 +6,8 @@ confidence_weight DOUBLE. Null arrays count as empty.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import ahocorasick
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -13,12 +15,15 @@ from pyspark.sql import functions as F
 from folio.functions.text import sanitize
 from folio.operators.arrow import map_rows
 
+#: Patterns of one automaton.
+PATTERNS = 1_000_000
 #: Packets from this id on fill in, they never override (fixed value).
 FUSION_ID = 900
 
 
-def violation(packets: DataFrame) -> DataFrame:
-    """FLT-1: packet_id and the first rule of validity that a packet breaks; null if it is valid."""
+def violation(packets: DataFrame, keep: list[str] | None = None) -> DataFrame:
+    """FLT-1: packet_id and the first rule of validity that a packet breaks; null if it is valid. The wordings are fixed
+    values."""
     rules = F.coalesce("rules", F.array().cast(packets.schema["rules"].dataType))
     ids = F.transform(rules, lambda r: r["rule_id"])
 
@@ -38,7 +43,20 @@ def violation(packets: DataFrame) -> DataFrame:
         .when(first.isNotNull(), first)
         .when(F.coalesce(F.col("confidence_weight"), F.lit(0.0)) <= 0, F.concat(head, F.lit(" has non-positive confidence_weight")))
     )
-    return packets.select("packet_id", reason.alias("violation"))
+    return packets.select(*(keep or []), "packet_id", reason.alias("violation"))
+
+
+def missing_packets(expected: DataFrame, loaded: DataFrame) -> DataFrame:
+    """JON-4: packet_id of the packets that are expected but weren't loaded. If nothing could be loaded, all of them."""
+    return expected.select("packet_id").distinct().join(loaded.select("packet_id"), "packet_id", "left_anti")
+
+
+def usable(loaded: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """FLT-1 at load: the valid packets of a scan in its order, and the path and reason of each skipped one."""
+    at = "ord" if "ord" in loaded.columns else "packet_id"
+    reasons = violation(loaded.where("skipped is null").select(F.col(at).alias("__at"), "packet_id", "rules", "confidence_weight"), keep=["__at"]).select("__at", "violation")
+    checked = loaded.join(reasons, loaded[at] == reasons["__at"], "left").drop("__at").withColumn("skipped", F.coalesce("skipped", "violation")).drop("violation")
+    return checked.where("skipped is null").drop("skipped"), checked.where("skipped is not null").select("path", F.col("skipped").alias("reason"))
 
 
 def rule_winners(rules: DataFrame) -> DataFrame:
@@ -81,11 +99,20 @@ def prompt(packets: DataFrame) -> DataFrame:
 def pattern_hits(texts: DataFrame, patterns: DataFrame, keys: list[str], text: str = "text") -> DataFrame:
     """JON-11: keys, pattern_id of each pattern that a text holds, literal and case-insensitive.
 
-    patterns: pattern_id, pattern; at most 500 packets of 10 MB, and checked here to be few. One automaton finds all of
-    them in one run over a text, instead of a comparison of each text with each pattern."""
-    rows = [(r["pattern_id"], r["pattern"].lower()) for r in patterns.where("pattern is not null and pattern <> ''").limit(2_000_001).collect()]
-    if len(rows) > 2_000_000:
-        raise ValueError("too many patterns for one automaton")
+    patterns: pattern_id, pattern. One automaton finds all of them in one run over a text, instead of a comparison of each
+    text with each pattern. More patterns than one automaton holds are cut into blocks of so many by their hash, and the
+    texts are run through block by block."""
+    usable = patterns.where("pattern is not null and pattern <> ''").select("pattern_id", F.lower("pattern").alias("pattern"))
+    blocks = -(-usable.count() // PATTERNS) or 1
+    if blocks > 1:
+        usable = usable.withColumn("__b", F.pmod(F.xxhash64("pattern"), F.lit(blocks)))
+        parts = [_hits(texts, usable.where(F.col("__b") == b), keys, text) for b in range(blocks)]
+        return reduce(DataFrame.unionByName, parts)
+    return _hits(texts, usable, keys, text)
+
+
+def _hits(texts: DataFrame, patterns: DataFrame, keys: list[str], text: str) -> DataFrame:
+    rows = [(r["pattern_id"], r["pattern"]) for r in patterns.collect()]  # at most about PATTERNS
     given = texts.sparkSession.sparkContext.broadcast(rows)
     kinds = ", ".join(f"`{k}` {texts.schema[k].dataType.simpleString()}" for k in keys)
 

@@ -11,7 +11,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from folio.functions.text import bound, strip_noise, trim_all
+from folio.operators.analysis import Analyzer
 from folio.operators.arrow import map_rows, per_row
+from folio.operators.reports import fold_prompt
 from folio.session import cut
 
 #: Bytes that a separator adds to a leaf; passes of a fold (fixed values).
@@ -197,6 +200,54 @@ def word_chunks(texts: DataFrame, keys: list[str], max_tokens: int, overlap_toke
     return per_row(texts, keys, text, cut_one, "chunk_no int, n_words int, chunk string")
 
 
+def page_windows(pages: DataFrame, max_tokens: int, overlap_tokens: int) -> DataFrame:
+    """PCK-3 over books: book_id, chunk_no, start_page, end_page, n_words, text of the word windows of each book, which run
+    over page ends.
+
+    A book's windows follow from each other, so a book is one run of the loop; it holds words and pages of one window's
+    length only, as pages come in order, and books are spread by id."""
+    most, share = max(4 * max_tokens, 1), max(4 * overlap_tokens // 5, 1)
+    rows = pages.where("text is not null").groupBy("book_id", "page_idx").agg(F.max("text").alias("text"))
+
+    def run(batches):
+        now, held, no, first = None, [], 0, True
+
+        def windows(whole: bool):
+            """Windows that can't change any more: all at the end of a book, else those that a word follows."""
+            nonlocal held, no
+            out = []
+            while held:
+                end, size = 0, 0
+                while end < len(held) and (end == 0 or size + len(held[end][0].encode()) + 1 <= most):
+                    size += len(held[end][0].encode()) + 1
+                    end += 1
+                if end >= len(held) and not whole:
+                    break
+                out.append((now, no, held[0][1], held[end - 1][1], end, " ".join(w for w, _ in held[:end])))
+                no += 1
+                if end >= len(held):
+                    held = []
+                    break
+                held = held[max(end - min(share, end), 1) :]
+            return out
+
+        for c in batches:
+            out = []
+            for b, p, t in zip(c["book_id"], c["page_idx"], c["text"]):
+                if not first and b != now:
+                    out += windows(True)
+                    held, no = [], 0
+                now, first = b, False
+                held += [(w, p) for w in t.split()]
+                out += windows(False)
+            yield out
+        if not first:
+            yield windows(True)
+
+    ordered = rows.repartition("book_id").sortWithinPartitions("book_id", "page_idx")
+    return map_rows(ordered, run, "book_id long, chunk_no int, start_page int, end_page int, n_words int, text string")
+
+
 def line_pages(texts: DataFrame, keys: list[str], text: str = "text", lines: int = LINES_PER_PAGE) -> DataFrame:
     """PCK-4, SNK-4: keys, page_no, page: so many lines to a page."""
     rows = texts.where(F.col(text).isNotNull()).select(*keys, F.split(text, "\n").alias("l"))
@@ -205,6 +256,41 @@ def line_pages(texts: DataFrame, keys: list[str], text: str = "text", lines: int
     return paged.select(*keys, "page_no", F.array_join(F.slice("l", F.col("page_no") * lines + 1, lines), "\n").alias("page"))
 
 
+def fold_texts(leaves: DataFrame, key: str, order: str, text: str, budget: int, analyzer: Analyzer, passes: int = PASSES) -> DataFrame:
+    """PCK-5: key, passes, text: the leaves of each key folded into one text.
+
+    A pass groups the texts in order within the budget (PCK-1), asks the analyzer for one text of each group (AGG-15; the
+    last time with the final instruction), cleans it, and takes the group's own texts where nothing is left. A key whose
+    pass was one group is done; after so many passes what is left is joined. All keys run through a pass at once, each
+    pass is written down before the next, and a group holds no more than a budget or one leaf. Orders are unique in a
+    key; null texts take no part."""
+    state = leaves.where(F.col(text).isNotNull()).select(F.col(key).alias("k"), F.col(order).cast("long").alias("o"), F.col(text).alias("t"))
+    kind, done, number = state.schema["k"].dataType.simpleString(), None, 0
+    while True:
+        number += 1
+        placed = greedy_groups(state.select("k", "o", (F.octet_length("t") + SEPARATOR).alias("c")), "k", "o", "c", budget)
+        blocks = F.transform(F.array_sort(F.collect_list(F.struct("o", "t"))), lambda x: x["t"])
+        groups = state.join(placed.select(F.col("k").alias("pk"), F.col("o").alias("po"), "grp"), F.col("k").eqNullSafe(F.col("pk")) & (F.col("o") == F.col("po"))).groupBy("k", "grp").agg(blocks.alias("blocks"))
+        number_of = placed.groupBy(F.col("k").alias("pk")).agg((F.max("grp") + 1).alias("n"))
+        asked = groups.join(number_of, F.col("k").eqNullSafe(F.col("pk"))).drop("pk")
+        asked = asked.select("k", "grp", "n", fold_prompt(F.col("blocks"), F.col("n") == 1).alias("prompt"), F.array_join("blocks", "\n\n").alias("joined"))
+
+        def run(batches):
+            for c in batches:
+                yield list(zip(c["k"], c["grp"], c["n"], c["joined"], analyzer(c["prompt"])))
+
+        answered = map_rows(asked, run, f"k {kind}, grp long, n long, joined string, raw string")
+        clean = bound(trim_all(strip_noise(F.coalesce("raw", F.lit("")))), lambda x: F.when(x == "", F.col("joined")).otherwise(x))
+        folded = cut(answered.select("k", F.col("grp").alias("o"), "n", clean.alias("t")))
+        row = folded.where("n = 1").select("k", F.lit(number).cast("long").alias("passes"), "t")
+        done = row if done is None else done.unionByName(row)
+        state = folded.where("n > 1").select("k", "o", "t")
+        if number == passes or state.isEmpty():
+            break
+    rest = state.groupBy("k").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("o", "t"))), lambda x: x["t"]), "\n\n").alias("t"))
+    return done.unionByName(rest.select("k", F.lit(number).cast("long").alias("passes"), "t")).toDF(key, "passes", text)
+
+
 def fold_passes(leaves: DataFrame, key: str, order: str, cost: str, budget: int, combined: int, passes: int = PASSES) -> DataFrame:
     """PCK-5: passes, groups of the first pass and final groups of each key, if a fold of a group costs combined bytes.
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from folio.functions.text import strip_noise, trim_all
+from folio.session import first_rows
 
 #: What a report says if there was no output (fixed value).
 NOTHING = "Run complete. No inference output was produced."
@@ -13,7 +14,7 @@ NOTHING = "Run complete. No inference output was produced."
 
 def cleaned(outputs: DataFrame) -> DataFrame:
     """FLT-6: distinct outputs with their text without tool noise, where anything is left."""
-    rows = outputs.dropDuplicates(["output_id"])
+    rows = first_rows(outputs, ["output_id"])
     # exploding the text where there is any filters without working it out twice
     clean = F.explode(F.filter(F.array(trim_all(strip_noise("text"))), lambda x: x != "")).alias("clean")
     return rows.select("output_id", "run_id", "book_id", "model_name", "chunk_idx", clean)
@@ -28,9 +29,21 @@ def leaves(outputs: DataFrame) -> DataFrame:
     return cleaned(outputs).select("run_id", "model_name", "chunk_idx", "output_id", leaf(F.col("model_name"), F.col("chunk_idx"), F.col("clean")).alias("leaf"))
 
 
-def fold_prompt(blocks: Column, instruction: str) -> Column:
-    """AGG-15: an instruction and the blocks behind it."""
-    return F.concat(F.lit(instruction), F.array_join(blocks, "\n\n"))
+#: What a model is asked to make of several analyses: the last time, and before (fixed values).
+FINAL_INSTRUCTION = (
+    "You are writing the final consolidated review of an entire book. Below are analyses of its individual sections, each produced by examining that section for manipulation tactics, "
+    "logical fallacies, and rhetorical framing. Write one coherent review of the whole book: a short summary of its central argument, every distinct manipulation tactic or fallacy found "
+    "(with where it occurs and its severity), and an overall assessment. Do not omit any section's findings.\n\n--- SECTION ANALYSES ---\n"
+)
+INTERMEDIATE_INSTRUCTION = (
+    "You are consolidating analyses of several sections of a book into a single intermediate summary. Merge the analyses below, preserving every distinct finding, flagged manipulation "
+    "tactic or fallacy, and its severity. Keep the section/chapter labels so later synthesis can still tell them apart. Be concise but drop nothing.\n\n--- SECTION ANALYSES ---\n"
+)
+
+
+def fold_prompt(blocks: Column, final: Column) -> Column:
+    """AGG-15: the instruction of a fold, and the blocks behind it."""
+    return F.concat(F.when(final, FINAL_INSTRUCTION).otherwise(INTERMEDIATE_INSTRUCTION), F.array_join(blocks, "\n\n"))
 
 
 def report(outputs: DataFrame, titles: DataFrame) -> DataFrame:
@@ -38,7 +51,11 @@ def report(outputs: DataFrame, titles: DataFrame) -> DataFrame:
 
     titles: book_id, chunk_idx, title; a chapter without a title is named by its number. A report is one value, as long
     as its run's texts."""
-    rows = cleaned(outputs).join(titles, ["book_id", "chunk_idx"], "left")
+    return report_of(cleaned(outputs).join(titles, ["book_id", "chunk_idx"], "left"))
+
+
+def report_of(rows: DataFrame) -> DataFrame:
+    """The same of rows already cleaned, with their titles: run_id, model_name, chunk_idx, output_id, clean, title."""
     name = F.coalesce(F.when(F.coalesce("title", F.lit("")) != "", F.col("title")), F.concat(F.lit("Chapter "), (F.col("chunk_idx") + 1).cast("string")))
     part = rows.select("run_id", "model_name", "chunk_idx", "output_id", F.concat(F.lit("── "), name, F.lit(" ──\n"), F.col("clean"), F.lit("\n\n")).alias("part"))
     per_model = part.groupBy("run_id", "model_name").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("chunk_idx", "output_id", "part"))), lambda x: x["part"]), "").alias("body"))

@@ -14,21 +14,34 @@ from folio.functions.text import bound, mentions_in
 
 #: Books of the window, books it needs, least margin, tie margin, least share of wins (fixed values).
 WINDOW, MARGIN, TIE, WIN_SHARE = 10, 0.05, 0.01, 0.7
-#: Most categories whose keywords are counted in one expression.
+#: Categories whose keywords are counted in one expression, or one block.
 CATEGORIES = 1000
 
 
-def scores(outputs: DataFrame, categories: DataFrame, text: str = "text") -> DataFrame:
+def scores(outputs: DataFrame, categories: DataFrame, text: str = "text", distinct: list[str] | None = None) -> DataFrame:
     """JON-1, AGG-1, AGG-2: hits of every category's keyword in the outputs of every (book_id, model_name), and ln(1 + hits).
 
-    categories: category, keyword; a dimension of a few rows, so it is collected into the expression and each text is
-    read once, instead of once per category behind a cross join. A null text has no hits; every pair keeps its row."""
+    categories: category, keyword. Up to CATEGORIES rows are collected into one expression, so each text is read once;
+    more are put into blocks of so many, and each text meets each block once, by block number. A null text has no hits;
+    every pair keeps its row. distinct: columns of which repeated rows count once; they are told after counting, so texts
+    are never moved."""
     rows = [(r["category"], r["keyword"]) for r in categories.limit(CATEGORIES + 1).collect()]
-    if len(rows) > CATEGORIES:
-        raise ValueError("too many categories for one expression")
     low = F.lower(F.coalesce(text, F.lit("")))
-    counts = bound(low, lambda t: F.array(*[F.struct(F.lit(c).alias("category"), mentions_in(t, k).alias("hits")) for c, k in rows]))
-    each = outputs.select("book_id", "model_name", F.explode(counts).alias("c")).select("book_id", "model_name", "c.category", "c.hits")
+    head = list(dict.fromkeys(["book_id", "model_name", *(distinct or [])]))
+    if len(rows) <= CATEGORIES:
+        counts = bound(low, lambda t: F.array(*[F.struct(F.lit(c).alias("category"), mentions_in(t, k).alias("hits")) for c, k in rows]))
+        each = outputs.select(*head, counts.alias("c"))
+    else:
+        numbered = categories.select("category", "keyword", F.pmod(F.xxhash64("category", "keyword"), F.lit(-(-categories.count() // CATEGORIES))).cast("int").alias("__block"))
+        blocks = numbered.groupBy("__block").agg(F.collect_list(F.struct("category", "keyword")).alias("__words"))
+        n = blocks.agg(F.max("__block")).first()[0]
+        met = outputs.select(*head, low.alias("__low"), F.explode(F.sequence(F.lit(0), F.lit(n))).alias("__block")).join(blocks, "__block")
+        counts = F.transform("__words", lambda w: F.struct(w["category"].alias("category"), mentions_in(F.col("__low"), w["keyword"]).alias("hits")))
+        each = met.select(*head, counts.alias("c"))
+    if distinct:
+        block = F.transform("c", lambda x: x["category"])  # rows of one text differ by their block only
+        each = each.withColumn("__c", F.xxhash64(block)).dropDuplicates([*distinct, "__c"]).drop("__c")
+    each = each.select("book_id", "model_name", F.explode("c").alias("c")).select("book_id", "model_name", "c.category", "c.hits")
     total = each.groupBy("book_id", "model_name", "category").agg(F.sum("hits").alias("hits"))
     return total.withColumn("score", F.round(F.log1p("hits"), 6)).withColumn("false_positives", F.lit(0).cast("long"))
 
@@ -55,10 +68,14 @@ def average(rows: DataFrame) -> DataFrame:
     )
 
 
+def book_winners(rows: DataFrame) -> DataFrame:
+    """WIN-3: the model of the highest score of each category in each book."""
+    return rows.groupBy("book_seq", "category").agg(F.min(F.struct((-F.col("score")).alias("s"), "model_name"))["model_name"].alias("model_name"))
+
+
 def wins(rows: DataFrame) -> DataFrame:
-    """AGG-4, WIN-3: in how many books a model has the highest score of a category."""
-    best = rows.groupBy("book_seq", "category").agg(F.min(F.struct((-F.col("score")).alias("s"), "model_name"))["model_name"].alias("model_name"))
-    return best.groupBy("model_name", "category").agg(F.count(F.lit(1)).alias("wins"))
+    """AGG-4: in how many books a model has the highest score of a category."""
+    return book_winners(rows).groupBy("model_name", "category").agg(F.count(F.lit(1)).alias("wins"))
 
 
 def consensus(rows: DataFrame) -> DataFrame:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from folio.operators import scoring
 from folio.operators.events import classified
+from folio.operators.ordered import carried
 from folio.plans.catalog import SQL, query
 from folio.plans.score_queries import CLASS, CONSENSUS
 from folio.session import shared_dir, table
@@ -45,7 +46,7 @@ def str3_stream(spark, d):
     return _run(streams.recover(rows, "user_id", "event_id", "class"), spark, "append").select("user_id", "event_id", "action")
 
 
-@query("str7_stream_windows", "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
+@query("win_stream_tumbling", "SELECT date_trunc('hour', ts) AS window_start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2")
 def str7_stream(spark, d):
     rows = _stream(spark, d, "events").withColumn("ts", F.col("ts").cast("timestamp"))  # event time has a zone
     w = streams.tumbling(rows, "ts", ["event_type"], "1 hour", "30 days", "value")
@@ -76,11 +77,11 @@ def rollup(spark, d):
     return rows.rollup("model_name", "category").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("score"), 4).alias("total"))
 
 
-@query("ext_distinct_models", "SELECT model_name FROM model_outputs WHERE model_name IS NOT NULL INTERSECT SELECT model1 FROM manifests EXCEPT SELECT fusion FROM manifests WHERE book_id % 7 = 0 AND fusion IS NOT NULL")
+@query("ext_distinct_models", "SELECT model_name FROM model_outputs WHERE model_name IS NOT NULL INTERSECT SELECT model1 FROM manifests EXCEPT SELECT fusion FROM manifests WHERE fusion IS NOT NULL")
 def set_ops(spark, d):
     m = table(spark, d, "manifests")
     a = table(spark, d, "model_outputs").where("model_name is not null").select("model_name")
-    return a.intersect(m.select("model1")).subtract(m.where("book_id % 7 = 0 and fusion is not null").select("fusion"))
+    return a.intersect(m.select("model1")).subtract(m.where("fusion is not null").select("fusion"))
 
 
 @query(
@@ -88,12 +89,9 @@ def set_ops(spark, d):
     "SELECT e.user_id, e.event_id, (SELECT max(x.event_id) FROM events x WHERE x.user_id = e.user_id AND x.event_type = 'purchase' AND x.event_id <= e.event_id) AS last_purchase FROM events e",
 )
 def as_of(spark, d):
-    """As-of: the newest purchase of a user up to each event, by one pass over a user's events instead of a join."""
-    from pyspark.sql import Window as W
-
-    w = W.partitionBy("user_id").orderBy("event_id").rowsBetween(W.unboundedPreceding, 0)
-    last = F.max(F.when(F.col("event_type") == "purchase", F.col("event_id"))).over(w)
-    return table(spark, d, "events").select("user_id", "event_id", last.alias("last_purchase"))
+    """As-of: the newest purchase of a user up to each event, by one pass over blocks of events instead of a join."""
+    bought = F.when(F.col("event_type") == "purchase", F.col("event_id"))
+    return carried(table(spark, d, "events").select("user_id", "event_id", "event_type"), "user_id", "event_id", bought, "last_purchase").drop("event_type")
 
 
 @query(
@@ -134,5 +132,4 @@ def agg2(spark, d):
 @query("win3_book_winners", "WITH h AS (SELECT DISTINCT book_seq, model_name, category, CASE WHEN coalesce(false_positives, 0) = 0 THEN score ELSE greatest(score - least(0.1 * false_positives, 0.3 * score), 0.0) END AS score FROM score_history WHERE score IS NOT NULL) SELECT book_seq, category, model_name FROM (SELECT *, row_number() OVER (PARTITION BY book_seq, category ORDER BY score DESC, model_name) AS r FROM h) WHERE r = 1")
 def win3(spark, d):
     rows = scoring.history(table(spark, d, "score_history"))
-    best = rows.groupBy("book_seq", "category").agg(F.min(F.struct((-F.col("score")).alias("s"), "model_name"))["model_name"].alias("model_name"))
-    return best
+    return scoring.book_winners(rows)

@@ -12,6 +12,7 @@ from folio.operators import manifests as M
 from folio.operators import packets as K
 from folio.operators import reports as R
 from folio.operators import scoring as S
+from folio.operators.ordered import running_count
 from folio.operators.analysis import diagnosis, prompt
 from folio.plans.catalog import query
 from folio.plans.text_queries import OUTPUTS, outputs, sql_strip, sql_trim
@@ -84,7 +85,7 @@ MENTIONS = "CASE WHEN k = '' THEN 0 ELSE (length(lower(coalesce(text, ''))) - le
     f"FROM {OUTPUTS}, (VALUES {', '.join(f'{w!r}' for w in WORDS)}) c(category, k) GROUP BY 1, 2, 3",
 )
 def agg1(spark, d):
-    return S.scores(outputs(spark, d), spark.createDataFrame(WORDS, "category string, keyword string"))
+    return S.scores(table(spark, d, "model_outputs"), spark.createDataFrame(WORDS, "category string, keyword string"), distinct=["output_id"])
 
 
 @query(
@@ -141,9 +142,14 @@ def num2(spark, d):
     )
 
 
-@query("agg5_native_context", "SELECT model1 AS model_name, min(context_length) AS native, greatest(least(16384, min(context_length)), 2048)::BIGINT AS effective FROM manifests WHERE model1 IS NOT NULL GROUP BY 1")
+@query(
+    "agg5_native_context",
+    "SELECT model AS model_name, min(context_length) AS native, greatest(least(16384, min(context_length)), 2048)::BIGINT AS effective "
+    "FROM (SELECT unnest([model1, model2, model3, fusion]) AS model, context_length FROM manifests) WHERE model IS NOT NULL GROUP BY 1",
+)
 def agg5(spark, d):
-    per = table(spark, d, "manifests").where("model1 is not null").groupBy(F.col("model1").alias("model_name")).agg(F.min("context_length").alias("native"))
+    rows = table(spark, d, "manifests").select(F.explode(F.array(*M.SLOTS)).alias("model_name"), "context_length")
+    per = rows.where("model_name is not null").groupBy("model_name").agg(F.min("context_length").alias("native"))
     return per.select("model_name", "native", N.effective_context(F.lit(16384), "native", F.lit(None).cast("long")).alias("effective"))
 
 
@@ -258,13 +264,33 @@ def jon5(spark, d):
     return M.slots(table(spark, d, "manifests"))
 
 
-@query("jon4_missing_models", f"SELECT * FROM ({SLOTS}) WHERE model NOT IN (SELECT model_name FROM model_outputs WHERE model_name IS NOT NULL AND output_id % 2 = 0 AND model_name < 'q')")
+@query("jon5_slots_without_outputs", f"SELECT * FROM ({SLOTS}) WHERE model NOT IN (SELECT model_name FROM model_outputs WHERE model_name IS NOT NULL)")
+def jon5_outputs(spark, d):
+    return M.missing_models(table(spark, d, "manifests"), table(spark, d, "model_outputs"))
+
+
+@query(
+    "jon4_missing_packets",
+    f"WITH r AS ({RULE}), q AS (SELECT *, row_number() OVER (PARTITION BY packet_id, rule_id ORDER BY p_partkey) AS again FROM r) "
+    "SELECT DISTINCT packet_id FROM q GROUP BY packet_id HAVING bool_or(rule_id = '' OR again > 1 OR len(patterns) = 0) OR packet_id % 60 = 0",
+)
 def jon4(spark, d):
-    known = table(spark, d, "model_outputs").where("output_id % 2 = 0 and model_name < 'q'")
-    return M.missing_models(table(spark, d, "manifests"), known)
+    """Packets that are expected but invalid, and so not loaded."""
+    rows = packets(spark, d)
+    return K.missing_packets(rows, K.violation(rows).where("violation is null"))
 
 
-MODE = "CASE WHEN lower(trim(mode)) IN ('single', 'dual', 'full', 'optimized') THEN lower(trim(mode)) ELSE 'full' END"
+@query(
+    "set9_empty_paths",
+    "SELECT DISTINCT run_id, slot FROM (SELECT run_id, unnest(['model1', 'model2', 'model3', 'fusion']) AS slot, unnest([model1, model2, model3, fusion]) AS m FROM manifests) WHERE m IS NOT NULL AND trim(regexp_replace(m, '[a-m].*', '')) = ''",
+)
+def set9(spark, d):
+    """Slots with a path that is empty; a path is what stands before the first letter up to m here."""
+    slots = M.slots(table(spark, d, "manifests")).select("run_id", "slot", F.regexp_replace("model", "[a-m].*", "").alias("path"))
+    return M.empty_paths(slots)
+
+
+MODE = "CASE WHEN trim(mode) = '1' THEN 'single' WHEN trim(mode) = '2' THEN 'dual' WHEN lower(trim(mode)) IN ('single', 'dual', 'full', 'optimized') THEN lower(trim(mode)) ELSE 'full' END"
 
 
 @query(
@@ -276,32 +302,63 @@ def udf4(spark, d):
     return manifests(spark, d).select("run_id", M.mode().alias("mode"), F.array_join(M.sequence(), ",").alias("slots"))
 
 
-FIRST_LAST = f"WITH f AS (SELECT DISTINCT ON (book_id) * FROM {DISTINCT} ORDER BY book_id, run_id), l AS (SELECT DISTINCT ON (book_id) * FROM {DISTINCT} ORDER BY book_id, run_id DESC)"
+@query(
+    "udf5_modes",
+    "SELECT event_id, CASE m WHEN '1' THEN 'single' WHEN '2' THEN 'dual' WHEN 'single' THEN 'single' WHEN 'dual' THEN 'dual' WHEN 'optimized' THEN 'optimized' ELSE 'full' END AS mode "
+    "FROM (SELECT event_id, ['1', '2', '3', 'full', ' Dual', 'SINGLE', 'optimized', 'x', ''][event_id % 10 + 1] AS m0, lower(trim(m0)) AS m FROM events)",
+)
+def udf5(spark, d):
+    spelt = F.array(*[F.lit(x) for x in ("1", "2", "3", "full", " Dual", "SINGLE", "optimized", "x", "")])
+    rows = table(spark, d, "events").select("event_id", F.get(spelt, (F.col("event_id") % 10).cast("int")).alias("mode"))
+    return rows.select("event_id", M.mode().alias("mode"))
 
 
-def first_last(spark, d):
-    m = manifests(spark, d)
-    every = F.struct(*m.columns)
-    per = m.groupBy("book_id").agg(F.min_by(every, "run_id").alias("f"), F.max_by(every, "run_id").alias("l"))
-    return per.select("f.*"), per.select("l.*")
+RUNS = f"(SELECT *, {MODE} AS m, coalesce(categories_active, []) AS c FROM {DISTINCT})"
+#: Items of a list column c by where they first occur over the runs of a key.
+FIRSTS = "SELECT {k}, item, min((run_id, i)) AS pos FROM (SELECT {k}, run_id, unnest(c) AS item, unnest(range(1, len(c) + 1)) AS i FROM {r}) GROUP BY ALL"
 
 
 @query(
     "set1_3_merge_manifests",
-    f"{FIRST_LAST} SELECT l.book_id, l.run_id, coalesce(l.notes, f.notes) AS notes, array_to_string(list_concat(coalesce(f.categories_active, []), list_filter(coalesce(l.categories_active, []), lambda x: NOT list_contains(coalesce(f.categories_active, []), x))), ',') AS categories FROM l JOIN f USING (book_id)",
+    f"SELECT r.book_id, r.run_id, r.notes, coalesce(c.categories, '') AS categories FROM (SELECT book_id, max(run_id) AS run_id, arg_max(notes, run_id) FILTER (notes IS NOT NULL) AS notes FROM {RUNS} GROUP BY 1) r "
+    f"LEFT JOIN (SELECT book_id, string_agg(item, ',' ORDER BY pos) AS categories FROM ({FIRSTS.format(k='book_id', r=RUNS)}) GROUP BY 1) c USING (book_id)",
 )
 def set1(spark, d):
-    f, last = first_last(spark, d)
-    return M.merge(f, last).select("book_id", "run_id", "notes", F.array_join("categories_active", ",").alias("categories"))
+    """All runs of a book merged in order."""
+    merged = M.merge_all(manifests(spark, d), "book_id", "run_id")
+    return merged.select("book_id", "run_id", "notes", F.array_join("categories_active", ",").alias("categories"))
 
 
-@query("set2_merge_maps")
+@query(
+    "set3_merge_with_first",
+    f"WITH r AS (SELECT *, coalesce(model1, '-') AS f FROM {RUNS}), f AS (SELECT DISTINCT ON (book_id) * FROM r ORDER BY book_id, run_id) "
+    "SELECT r.run_id, coalesce(r.notes, f.notes) AS notes, array_to_string(list_concat(f.c, list_filter(r.c, lambda x: NOT list_contains(f.c, x))), ',') AS categories, "
+    "CASE WHEN r.m = f.m THEN r.m || '=' || array_to_string(list_concat(list_distinct([f.f]), list_filter([r.f], lambda x: x <> f.f)), '+') WHEN r.m < f.m THEN r.m || '=' || r.f || ';' || f.m || '=' || f.f ELSE f.m || '=' || f.f || ';' || r.m || '=' || r.f END AS packets, "
+    "array_to_string(CASE WHEN f.f = r.f THEN [f.f] ELSE [f.f, r.f] END, ',') AS failures, (f.page_count IS NULL OR r.page_count IS NULL) AS partial FROM r JOIN f USING (book_id)",
+)
+def set3(spark, d):
+    """Every run merged with the first one of its book: categories, notes, the packets' map, the record of failures."""
+    f = F.coalesce("model1", F.lit("-"))
+    failures = F.struct(F.array(f).alias("models"), F.array(f).alias("chunks"), F.col("page_count").isNull().alias("partial"))
+    rows = manifests(spark, d).select("book_id", "run_id", "categories_active", "notes", F.create_map(M.mode(), F.array(f)).alias("rag_packets_used"), failures.alias("partial_run"))
+    first = rows.groupBy("book_id").agg(F.min_by(F.struct(*[c for c in rows.columns if c != "book_id"]), "run_id").alias("f")).select("book_id", "f.*")
+    merged = M.merge(first, rows)
+    packets_used = F.array_sort(F.map_entries("rag_packets_used"))
+    return merged.select(
+        "run_id", "notes", F.array_join("categories_active", ",").alias("categories"), F.array_join(F.transform(packets_used, lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "+"))), ";").alias("packets"),
+        F.array_join("partial_run.models", ",").alias("failures"), F.col("partial_run.partial").alias("partial"),
+    )
+
+
+@query(
+    "set2_merge_maps",
+    f"SELECT book_id, string_agg(m || '=' || coalesce(items, ''), ';' ORDER BY m) AS merged FROM (SELECT DISTINCT book_id, m FROM {RUNS}) LEFT JOIN (SELECT book_id, m, string_agg(item, '+' ORDER BY pos) AS items FROM ({FIRSTS.format(k='book_id, m', r=RUNS)}) GROUP BY 1, 2) USING (book_id, m) GROUP BY 1",
+)
 def set2(spark, d):
-    f, last = first_last(spark, d)
-    side = lambda df, c: df.select("book_id", F.create_map(M.mode(), F.coalesce("categories_active", F.array().cast("array<string>"))).alias(c))
-    both = side(f, "a").join(side(last, "b"), "book_id")
-    merged = F.array_sort(F.map_entries(M.merge_lists(F.col("a"), F.col("b"))))
-    return both.select("book_id", F.array_join(F.transform(merged, lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "+"))), ";").alias("merged"))
+    """mode -> categories over all runs of a book."""
+    rows = manifests(spark, d).select("book_id", "run_id", M.mode().alias("m"), F.coalesce("categories_active", F.array().cast("array<string>")).alias("c"))
+    entries = F.array_sort(F.map_entries("merged"))
+    return M.merge_all_lists(rows, "book_id", "run_id", "m", "c").select("book_id", F.array_join(F.transform(entries, lambda e: F.concat(e["key"], F.lit("="), F.array_join(e["value"], "+"))), ";").alias("merged"))
 
 
 @query("set8_unresolved", "SELECT event_id, event_type AS kind FROM events WHERE event_type NOT IN (SELECT event_type FROM events WHERE event_id = 0)")
@@ -310,10 +367,13 @@ def set8(spark, d):
     return M.unresolved(conflicts, conflicts.where("event_id = 0"))
 
 
-@query("src8_embedded_manifests", f"SELECT run_id, run_id AS embedded_run, false AS failed FROM {DISTINCT} WHERE manifest_version IS NOT NULL")
+@query("src8_embedded_manifests", f"SELECT run_id, CASE WHEN manifest_version IS NOT NULL THEN run_id END AS embedded_run, manifest_version IS NULL AS failed FROM {DISTINCT}")
 def src8(spark, d):
-    m = manifests(spark, d).where("manifest_version is not null").select("run_id", sinks.embedded(F.struct("run_id", "manifest_version", "categories_active", "notes")).alias("info"))
-    got = m.select("run_id", readers.embedded_manifest(F.col("info"), F.lit(None).cast("string")).alias("e"))
+    """Single-mode manifests are attached as JSON, the others are in the base64 value; without a version they can't be read."""
+    whole = F.struct("run_id", "manifest_version", "categories_active", "notes")
+    attached = M.mode() == "single"
+    m = manifests(spark, d).select("run_id", F.when(~attached, sinks.embedded(whole)).alias("info"), F.when(attached, F.to_json(whole)).alias("file"))
+    got = m.select("run_id", readers.embedded_manifest(F.col("info"), F.col("file")).alias("e"))
     return got.select("run_id", F.col("e.manifest.run_id").alias("embedded_run"), F.col("e.failed").alias("failed"))
 
 
@@ -330,15 +390,19 @@ CLEAN = f"SELECT output_id, run_id, book_id, model_name, chunk_idx, {sql_trim(sq
 LEAVES = f"SELECT run_id, model_name, chunk_idx, output_id, '=== ' || model_name || ' · chapter ' || (chunk_idx + 1) || ' ===' || chr(10) || clean AS leaf FROM ({CLEAN}) WHERE clean <> ''"
 
 
+def _quoted(x: str) -> str:
+    return "'" + x.replace("'", "''").replace("\n", "' || chr(10) || '") + "'"
+
+
 @query("agg10_leaves", LEAVES)
 def agg10(spark, d):
     return R.leaves(table(spark, d, "model_outputs"))
 
 
-@query("agg15_fold_prompts", f"SELECT run_id, 'Fold:' || chr(10) || string_agg(leaf, chr(10) || chr(10) ORDER BY model_name, chunk_idx, output_id) AS prompt FROM ({LEAVES}) GROUP BY run_id")
+@query("agg15_fold_prompts", f"SELECT run_id, CASE WHEN count(*) <= 3 THEN {_quoted(R.FINAL_INSTRUCTION)} ELSE {_quoted(R.INTERMEDIATE_INSTRUCTION)} END || string_agg(leaf, chr(10) || chr(10) ORDER BY model_name, chunk_idx, output_id) AS prompt FROM ({LEAVES}) GROUP BY run_id")
 def agg15(spark, d):
     rows = R.leaves(table(spark, d, "model_outputs")).groupBy("run_id").agg(F.array_sort(F.collect_list(F.struct("model_name", "chunk_idx", "output_id", "leaf"))).alias("l"))
-    return rows.select("run_id", R.fold_prompt(F.transform("l", lambda x: x["leaf"]), "Fold:\n").alias("prompt"))
+    return rows.select("run_id", R.fold_prompt(F.transform("l", lambda x: x["leaf"]), F.size("l") <= 3).alias("prompt"))
 
 
 TITLES = "(SELECT book_id, chapter_id AS chunk_idx, max(trim(title)) AS title FROM chapters GROUP BY 1, 2)"
@@ -362,11 +426,13 @@ def udf2(spark, d):
 @query(
     "udf3_diagnoses",
     f"SELECT output_id, CASE WHEN regexp_matches(lower(coalesce(text, '')), 'out of memory|oom') AND regexp_matches(lower(coalesce(text, '')), 'cuda|rocm|vulkan|ggml|alloc') THEN 'out of memory' "
-    f"WHEN len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: contains(lower(x), 'error:'))) > 0 THEN list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: contains(lower(x), 'error:'))[1] "
-    f"WHEN output_id % 10 > 5 AND chunk_idx = 0 THEN 'model larger than memory' ELSE 'unknown' END AS cause FROM {OUTPUTS}",
+    f"WHEN output_id % 4 <> 0 AND len(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: contains(lower(x), 'error:'))) > 0 THEN trim(list_filter(string_split(coalesce(text, ''), chr(10)), lambda x: contains(lower(x), 'error:'))[1]) "
+    f"WHEN output_id % 4 <> 0 AND output_id % 10 > 5 AND chunk_idx = 0 THEN 'model larger than memory' WHEN output_id % 4 <> 0 AND output_id % 10 > 0 AND (coalesce(text, '') = '' OR len(string_split(regexp_replace(text, chr(10) || '$', ''), chr(10))) <= 6) THEN 'failed to start' ELSE 'unknown' END AS cause FROM {OUTPUTS}",
 )
 def udf3(spark, d):
-    return outputs(spark, d).select("output_id", diagnosis(F.col("text"), F.col("output_id") % 10, F.lit(5), F.col("chunk_idx")).alias("cause"))
+    rows = table(spark, d, "model_outputs")
+    cause = diagnosis(F.col("text"), F.col("output_id") % 10, F.lit(5), F.col("chunk_idx"), F.col("output_id") % 4 != 0)
+    return rows.select("output_id", cause.alias("cause")).dropDuplicates(["output_id"])  # of the short causes
 
 
 @query("str8_complete_groups", f"SELECT output_id, run_id, model_name FROM {OUTPUTS} WHERE (run_id, model_name) IN (SELECT (run_id, model_name) FROM {OUTPUTS} GROUP BY run_id, model_name HAVING bool_and(coalesce(text, '') <> ''))")
@@ -386,9 +452,39 @@ CLASS = {"error": "Retryable", "click": "Recoverable", "view": "RagSkip", "purch
 SQL_CLASS = "CASE event_type " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in CLASS.items()) + " ELSE 'Fatal' END"
 
 
-@query("str2_classes", f"SELECT event_id, {SQL_CLASS} AS class FROM events")
+KINDS = (*E.ERROR_CLASSES, "RagError.MissingPacket", "PdfError.ParseFailure", "ModelError.Other", "NoSuchError")
+SQL_KINDS = "[" + ", ".join(f"'{k}'" for k in KINDS) + f"][event_id % {len(KINDS)} + 1]"
+SQL_CLASSES = "CASE k " + " ".join(f"WHEN '{k}' THEN '{v}'" for k, v in E.ERROR_CLASSES.items()) + " WHEN 'RagError.MissingPacket' THEN 'RagSkip' ELSE 'Fatal' END"
+
+
+def kind_of(seq):
+    return F.get(F.array(*[F.lit(k) for k in KINDS]), (seq % len(KINDS)).cast("int"))
+
+
+@query("str2_classes", f"SELECT event_id, {SQL_CLASSES} AS class FROM (SELECT event_id, {SQL_KINDS} AS k FROM events)")
 def str2(spark, d):
-    return table(spark, d, "events").select("event_id", E.classified(F.col("event_type"), CLASS).alias("class"))
+    """The class of every kind of error, and of kinds that aren't known."""
+    return table(spark, d, "events").select("event_id", E.error_class(kind_of(F.col("event_id"))).alias("class"))
+
+
+@query(
+    "per5_error_kinds",
+    "SELECT * FROM (VALUES ('ModelError', 'LoadFailure', 'Recoverable'), ('ModelError', 'InferenceFailure', 'PartialRun'), ('ModelError', 'Timeout', 'Retryable'), ('ModelError', 'GpuError', 'GpuFallback'), ('ModelError', 'IoError', 'Recoverable'), "
+    "('ModelError', 'InvalidState', 'Fatal'), ('RagError', 'MalformedPacket', 'RagSkip'), ('RagError', 'MissingPacket', 'RagSkip'), ('RagError', 'ValidationFailure', 'RagSkip'), ('PdfError', 'ParseFailure', 'Fatal'), ('PdfError', 'ExtractionFailure', 'Fatal'), "
+    "('PdfError', 'WriteFailure', 'Fatal'), ('ManifestError', 'Corruption', 'Fatal'), ('ManifestError', 'ValidationFailure', 'Fatal'), ('ManifestError', 'VersionMismatch', 'Fatal'), ('ManifestError', 'IoError', 'Fatal'), ('OptimizationError', 'ScoringFailure', 'Recoverable'), "
+    "('OptimizationError', 'ConsensusFailure', 'Recoverable'), ('TimeoutError', NULL, 'Retryable'), ('IoError', NULL, 'Recoverable'), ('UiError', NULL, 'Recoverable'), ('UnknownError', NULL, 'Fatal')) v(family, member, class)",
+)
+def per5(spark, d):
+    return E.error_kinds(spark)
+
+
+@query(
+    "snk11_error_records",
+    f"SELECT event_id, '[' || strftime(ts, '%Y-%m-%dT%H:%M:%SZ') || ']' || chr(10) || 'ERROR_CLASS: ' || {SQL_CLASSES} || chr(10) || 'ERROR_TYPE: ' || k || chr(10) || 'ACTION: Retry' || chr(10) AS record FROM (SELECT event_id, ts, {SQL_KINDS} AS k FROM events)",
+)
+def snk11(spark, d):
+    kind = kind_of(F.col("event_id"))
+    return table(spark, d, "events").select("event_id", E.log_error(iso8601("ts"), kind, E.error_class(kind), F.lit("Retry")).alias("record"))
 
 
 @query(
@@ -402,18 +498,21 @@ def str3(spark, d):
     return E.recovery_actions(rows, "user_id", "event_id", "class").select("user_id", "event_id", "action")
 
 
-EDGES = {("signup", "view"), ("view", "click"), ("click", "view"), ("click", "purchase"), ("error", "signup"), ("view", "purchase"), ("purchase", "signup")}
+SQL_STATE = "[" + ", ".join(f"'{x}'" for x in E.STATES) + f"][(event_id * 7 + event_id // 5) % {len(E.STATES)} + 1]"
 
 
 @query(
     "str5_replay",
-    "WITH RECURSIVE e AS (SELECT user_id, event_id, event_type, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events), "
-    f"d(a, b) AS (VALUES {', '.join(map(repr, sorted(EDGES)))}), r AS (SELECT user_id, 0::BIGINT AS rn, NULL::BIGINT AS event_id, false AS allowed, 'signup' AS state FROM e WHERE rn = 1 UNION ALL "
-    "SELECT e.user_id, e.rn, e.event_id, e.event_type = 'error' OR (r.state, e.event_type) IN (SELECT (a, b) FROM d), CASE WHEN e.event_type = 'error' OR (r.state, e.event_type) IN (SELECT (a, b) FROM d) THEN e.event_type ELSE r.state END "
+    f"WITH RECURSIVE e AS (SELECT user_id, event_id, {SQL_STATE} AS request, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS rn FROM events), "
+    f"d(a, b) AS (VALUES {', '.join(map(repr, sorted(E.TRANSITIONS)))}), r AS (SELECT user_id, 0::BIGINT AS rn, NULL::BIGINT AS event_id, false AS allowed, 'Unloaded' AS state FROM e WHERE rn = 1 UNION ALL "
+    "SELECT e.user_id, e.rn, e.event_id, e.request = 'Error' OR (r.state, e.request) IN (SELECT (a, b) FROM d), CASE WHEN e.request = 'Error' OR (r.state, e.request) IN (SELECT (a, b) FROM d) THEN e.request ELSE r.state END "
     "FROM r JOIN e ON e.user_id = r.user_id AND e.rn = r.rn + 1) SELECT user_id, event_id, allowed, state FROM r WHERE event_id IS NOT NULL",
 )
 def str5(spark, d):
-    return E.replay(table(spark, d, "events"), "user_id", "event_id", "event_type", EDGES, "signup", "error").select("user_id", "event_id", "allowed", "state")
+    """Requests of model states, by the transitions a model may make."""
+    state = F.get(F.array(*[F.lit(x) for x in E.STATES]), ((F.col("event_id") * 7 + F.floor(F.col("event_id") / 5)) % len(E.STATES)).cast("int"))
+    rows = table(spark, d, "events").select("user_id", "event_id", state.alias("request"))
+    return E.replay(rows, "user_id", "event_id", "request").select("user_id", "event_id", "allowed", "state")
 
 
 @query("str4_downgrades", "SELECT event_id, CASE WHEN upper(event_type) <> 'VIEW' THEN 'CPU' END AS setting FROM events")
@@ -431,6 +530,38 @@ def str6(spark, d):
     return E.stalls(rows, "user_id", "ts", "size", 7200)
 
 
+SAMPLES = "(SELECT user_id, ts, CASE WHEN user_id % 3 = 0 AND event_id % 50 <> 1 THEN 0 ELSE floor(value / 60) END AS size FROM events)"
+
+
+@query(
+    "str6_timeouts",
+    f"WITH s AS (SELECT user_id, epoch_us(ts) AS us, ts, size, min(epoch_us(ts)) OVER (PARTITION BY user_id) AS start, lag(size) OVER w AS before FROM {SAMPLES} WINDOW w AS (PARTITION BY user_id ORDER BY ts)), "
+    "c AS (SELECT *, before IS NULL OR before <> size AS changed FROM s), q AS (SELECT *, us - coalesce(last_value(CASE WHEN changed THEN us END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY us ROWS UNBOUNDED PRECEDING), start) AS quiet, us - start AS age, "
+    "NOT changed OR (us = start AND size = 0) AS still FROM c), v AS (SELECT *, CASE WHEN still AND size > 0 AND age >= 3600000000 AND quiet >= 1800000000 THEN 'complete' WHEN still AND size = 0 AND quiet >= 3600000000 THEN 'no output' "
+    "WHEN age >= 864000000000 THEN 'too long' END AS verdict FROM q) SELECT user_id, min(ts) AS ts, arg_min(verdict, us) AS verdict FROM v WHERE verdict IS NOT NULL GROUP BY 1",
+)
+def str6_timeouts(spark, d):
+    size = F.when((F.col("user_id") % 3 == 0) & (F.col("event_id") % 50 != 1), 0).otherwise(F.floor(F.col("value") / 60))
+    return E.timeouts(table(spark, d, "events").select("user_id", "ts", size.alias("size")), "user_id", "ts", "size", 3600, 864_000, 1800)
+
+
+@query(
+    "str7_stage_percents",
+    "SELECT book_id, chapter_id, m AS model, round(0.15 + m / 3 * 0.70, 6) AS fetched, round(0.15 + m / 3 * 0.70 + 0.02, 6) AS loaded, round(0.15 + m / 3 * 0.70 + 0.05 + (rn) / n * 0.60 / 3, 6) AS analysed, 0.88 AS fused, 1.0 AS done "
+    "FROM (SELECT book_id, chapter_id, row_number() OVER (PARTITION BY book_id ORDER BY chapter_id) AS rn, count(*) OVER (PARTITION BY book_id) AS n FROM (SELECT DISTINCT book_id, chapter_id FROM chapters)), (VALUES (0), (1), (2)) v(m)",
+)
+def str7(spark, d):
+    """How far a run of three models is at each of its steps."""
+    chapters = table(spark, d, "chapters").select("book_id", "chapter_id").distinct().withColumn("one", F.lit(True))
+    n = chapters.groupBy("book_id").agg(F.count(F.lit(1)).alias("n"))
+    rows = running_count(chapters, "book_id", "chapter_id", "one", "rn").join(n, "book_id").withColumn("model", F.explode(F.array(F.lit(0), F.lit(1), F.lit(2))))
+    at = E.model_percent(F.col("model"), F.lit(3))
+    return rows.select(
+        "book_id", "chapter_id", "model", F.round(at, 6).alias("fetched"), F.round(at + E.LOADING, 6).alias("loaded"), F.round(E.chapter_percent(F.col("model"), F.lit(3), F.col("rn") - 1, F.col("n")), 6).alias("analysed"),
+        E.stage_percent(F.lit("RUNNING_FUSION")).alias("fused"), E.stage_percent(F.lit("COMPLETED")).alias("done"),
+    )
+
+
 @query(
     "win6_progress",
     "SELECT event_id, round(coalesce(last_value(CASE WHEN value / 50 > 0 AND value / 50 < 1 THEN 20 + 75 * value / 50 END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY event_id ROWS UNBOUNDED PRECEDING), 15.0), 6) AS shown FROM events",
@@ -483,13 +614,15 @@ def snk10(spark, d):
 
 # ---- files -------------------------------------------------------------------------------------------------------------
 
-LISTING = "SELECT p_brand AS repo, 'model.gguf' || CASE WHEN p_partkey % 11 = 0 THEN '' ELSE '.' || p_size END AS filename, floor(p_retailprice)::BIGINT * 1000 AS size, p_partkey, p_size FROM part WHERE p_partkey % 3 <> 0"
+LISTING = "SELECT p_brand || '-' || (p_partkey // 40) AS repo, 'model.gguf' || CASE WHEN p_partkey % 11 = 0 THEN '' ELSE '.' || (p_partkey // 5 + CASE WHEN p_size > 45 THEN 50 ELSE 0 END) END AS filename, floor(p_retailprice)::BIGINT * 1000 AS size, p_partkey, p_size FROM part"
 
 
 def listing(spark, d):
-    p = table(spark, d, "part").where("p_partkey % 3 <> 0")
-    name = F.concat(F.lit("model.gguf"), F.when(F.col("p_partkey") % 11 == 0, "").otherwise(F.concat(F.lit("."), F.col("p_size").cast("string"))))
-    return p.select(F.col("p_brand").alias("repo"), name.alias("filename"), (F.floor("p_retailprice").cast("long") * 1000).alias("size"), "p_partkey", "p_size")
+    """Shards of many sets; those of large parts leave a gap in their set."""
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    place = (F.floor(k / 5) + F.when(F.col("p_size") > 45, 50).otherwise(0)).cast("string")
+    name = F.concat(F.lit("model.gguf"), F.when(k % 11 == 0, "").otherwise(F.concat(F.lit("."), place)))
+    return p.select(F.concat("p_brand", F.lit("-"), F.floor(k / 40).cast("string")).alias("repo"), name.alias("filename"), (F.floor("p_retailprice").cast("long") * 1000).alias("size"), "p_partkey", "p_size")
 
 
 @query(
@@ -540,3 +673,46 @@ def src12(spark, d):
     lfs = F.struct(F.when(k % 5 != 0, F.col("p_size") * 2).cast("long").alias("size"), F.when(k % 2 == 0, F.concat(F.lit("s"), ks)).alias("sha256"), F.concat(F.lit("o"), ks).alias("oid"))
     rows = table(spark, d, "part").select(F.lit("r").alias("repo"), F.concat(F.lit("f"), ks).alias("filename"), F.when(k % 3 == 0, F.col("p_size")).cast("long").alias("size"), lfs.alias("lfs"))
     return readers.remote_listing(rows)
+
+
+WRITING = "(SELECT repo, filename, size FROM (" + LISTING + ") UNION ALL SELECT repo, filename || '.part', 1 FROM (" + LISTING + ") WHERE p_partkey % 17 = 0)"
+
+
+def writing(spark, d):
+    rows = listing(spark, d)
+    return rows.select("repo", "filename", "size").unionByName(rows.where("p_partkey % 17 = 0").select("repo", F.concat("filename", F.lit(".part")).alias("filename"), F.lit(1).cast("long").alias("size")))
+
+
+@query("src13_cached_sets", f"SELECT repo, count(*) AS shards, sum(size)::BIGINT AS bytes FROM {WRITING} WHERE NOT filename LIKE '%.part' AND repo NOT IN (SELECT repo FROM {WRITING} WHERE filename LIKE '%.part') GROUP BY 1")
+def src13(spark, d):
+    return FS.cached(writing(spark, d))
+
+
+@query("lim1_first_files", "SELECT repo, min(filename) AS filename FROM (SELECT p_brand AS repo, p_name || CASE WHEN p_partkey % 2 = 0 THEN '.GGUF' ELSE '.bin' END AS filename FROM part) WHERE filename LIKE '%.GGUF' GROUP BY 1")
+def lim1(spark, d):
+    p = table(spark, d, "part").select(F.col("p_brand").alias("repo"), F.concat("p_name", F.when(F.col("p_partkey") % 2 == 0, ".GGUF").otherwise(".bin")).alias("filename"))
+    return FS.first_weight_file(p)
+
+
+@query(
+    "per7_assets",
+    "WITH a AS (SELECT p_brand AS release, p_partkey AS ord, CASE WHEN p_partkey % 7 = 0 THEN 'cudart-' ELSE 'engine-' END || CASE WHEN p_size > 47 THEN 'cuda' WHEN p_size > 25 THEN 'cpu' ELSE 'src' END || CASE WHEN p_partkey % 3 = 0 THEN '.tar' ELSE '.zip' END AS name FROM part), "
+    "r AS (SELECT *, CASE WHEN contains(name, 'cuda-') OR contains(name, 'cuda.') THEN 0 WHEN contains(name, 'cpu') THEN 1 END AS rank FROM a WHERE name LIKE 'engine-%.zip') SELECT release, arg_min(name, (rank, ord)) AS name FROM r WHERE rank IS NOT NULL GROUP BY 1",
+)
+def per7(spark, d):
+    k, size = F.col("p_partkey"), F.col("p_size")
+    name = F.concat(F.when(k % 7 == 0, "cudart-").otherwise("engine-"), F.when(size > 47, "cuda").when(size > 25, "cpu").otherwise("src"), F.when(k % 3 == 0, ".tar").otherwise(".zip"))
+    return FS.choose_asset(table(spark, d, "part").select(F.col("p_brand").alias("release"), k.alias("ord"), name.alias("name")), "cuda", "cpu", "engine-")
+
+
+@query(
+    "per12_upserts",
+    "WITH c AS (SELECT user_id, event_id, event_type, CASE event_type WHEN 'error' THEN 'remove' WHEN 'view' THEN 'reset' ELSE 'put' END AS op FROM events), l AS (SELECT user_id, max(event_id) FILTER (op <> 'reset') AS pos, max(event_id) FILTER (op = 'reset') AS r FROM c GROUP BY 1), "
+    "s AS (SELECT c_custkey AS user_id FROM customer), b AS (SELECT coalesce(s.user_id, l.user_id) AS user_id, s.user_id IS NOT NULL AS had, l.pos, l.r, c.op FROM s FULL JOIN l ON s.user_id = l.user_id LEFT JOIN c ON c.event_id = l.pos) "
+    "SELECT user_id, CASE WHEN coalesce(r > coalesce(pos, -1), false) THEN 0 WHEN op = 'put' THEN pos ELSE 7 END::BIGINT AS done, CASE WHEN op = 'put' THEN pos % 2 = 0 ELSE true END AND NOT coalesce(r > coalesce(pos, -1), false) AS complete FROM b WHERE op = 'put' OR (op IS NULL AND had)",
+)
+def per12(spark, d):
+    op = F.when(F.col("event_type") == "error", "remove").when(F.col("event_type") == "view", "reset").otherwise("put")
+    changes = table(spark, d, "events").select("user_id", "event_id", op.alias("op"), F.col("event_id").alias("done"), (F.col("event_id") % 2 == 0).alias("complete"))
+    state = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.lit(7).cast("long").alias("done"), F.lit(True).alias("complete"))
+    return FS.upsert(state, changes, "user_id", "event_id")

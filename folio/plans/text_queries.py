@@ -2,15 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from folio.functions import text as T
 from folio.operators import chapters as C
 from folio.operators import packing as P
 from folio.operators.analysis import LexicalAnalyzer, analyze
+from folio.operators import packets as K
 from folio.operators.repair import byte_shift
+from folio.plans import pipeline
 from folio.plans.catalog import query
-from folio.session import table
+from folio.session import first_rows, shared_dir, table
+from folio.sources import readers
 
 CTRL = r"[\x00-\x09\x0B-\x1F\x7F-\x{9F}]"
 SP = r"[\s\p{Z}]+"
@@ -54,7 +59,7 @@ NOISY = "'Loading model' || chr(10) || chr(10) || 'build: 4' || chr(10) || text
 
 
 def outputs(spark, d):
-    return table(spark, d, "model_outputs").dropDuplicates(["output_id"])
+    return first_rows(table(spark, d, "model_outputs"), ["output_id"])
 
 
 def docs(spark, d):
@@ -116,12 +121,16 @@ def txt8(spark, d):
 
 @query("txt9_spacing_rules")
 def txt9(spark, d):
-    """Positions of words in a page's operators to text: a move down, or far enough right, is a space."""
-    words = table(spark, d, "chunks").where("text is not null").select("book_id", "chunk_id", F.posexplode(F.split("text", " ")).alias("n", "w"))
-    ops = words.select("book_id", "chunk_id", F.struct("n", F.when(F.col("n") % 7 == 0, 1.0).otherwise(0.0).alias("ty"), (F.col("n") % 3 * 4.0).alias("tx"), F.lit(12.0).alias("font"), "w").alias("op")).distinct()
-    ordered = F.array_sort(F.collect_list("op"))
-    text = F.aggregate(ordered, F.lit(""), lambda a, x: F.concat(a, F.when((a != "") & ((F.abs(x["ty"]) > 0.5) | (x["tx"] > 0.25 * x["font"])), " ").otherwise(""), F.trim(x["w"])))
-    return ops.groupBy("book_id", "chunk_id").agg(text.alias("text"))
+    """Operators of a page to its text: moves, kernings, new lines and shown pieces, made of the words of a chunk."""
+    chunks = table(spark, d, "chunks").where("text is not null").select("book_id", "chunk_id", "text").distinct()
+    kinds = F.array(*[F.lit(x) for x in ("Td", "TJ", "Tj", "T*", "TJ", "'", "Tf")])
+
+    def op(w, i):
+        kind = F.get(kinds, (i % 7).cast("int"))
+        return F.struct(kind.alias("op"), ((i % 3) * 4.0 - F.when(kind == "TJ", (i % 2) * 400.0).otherwise(0.0)).alias("a"), (F.when(kind == "Tf", 8.0 + i % 5).otherwise((i % 2) * 1.0)).alias("b"), F.when((kind != "TJ") | (i % 2 == 0), w).alias("text"))
+
+    ops = F.transform(F.split("text", " "), op)
+    return chunks.select("book_id", "chunk_id", T.spaced_text(ops).alias("text"))
 
 
 @query(
@@ -239,12 +248,14 @@ def chp6(spark, d):
 
 @query(
     "jon9_pages_of_chapters",
-    "SELECT c.book_id, c.chapter_id, count(*) AS n_pages, sum(strlen(p.text))::BIGINT AS n_bytes FROM (SELECT DISTINCT book_id, chapter_id, start_page, end_page FROM chapters WHERE end_page IS NOT NULL) c "
-    f"JOIN {PAGES} p ON p.book_id = c.book_id AND p.page_idx BETWEEN c.start_page AND c.end_page GROUP BY 1, 2",
+    "SELECT c.book_id, c.chapter_id, count(*) AS n_pages, sum(strlen(p.text))::BIGINT AS n_bytes FROM (SELECT DISTINCT book_id, chapter_id, start_page, end_page FROM chapters) c "
+    f"JOIN {PAGES} p ON p.book_id = c.book_id AND p.page_idx >= coalesce(c.start_page, 0) AND (c.end_page IS NULL OR p.page_idx <= c.end_page) GROUP BY 1, 2",
 )
 def jon9(spark, d):
-    """A range join made an equi-join: the pages of a chapter are listed."""
-    spans = table(spark, d, "chapters").where("end_page is not null").select("book_id", "chapter_id", "start_page", "end_page").distinct()
+    """A range join made an equi-join: the pages of a chapter are listed. Without an end it reaches to the end of its book."""
+    ends = table(spark, d, "pages").groupBy("book_id").agg(F.max("page_idx").alias("last_page"))
+    spans = table(spark, d, "chapters").select("book_id", "chapter_id", "start_page", "end_page").distinct().join(ends, "book_id")
+    spans = spans.select("book_id", "chapter_id", F.coalesce("start_page", F.lit(0)).alias("start_page"), F.coalesce("end_page", "last_page").alias("end_page"))
     listed = spans.where("end_page >= start_page").select("book_id", "chapter_id", F.explode(F.sequence("start_page", "end_page")).alias("page_idx"))
     size = C.distinct_pages(table(spark, d, "pages")).select("book_id", "page_idx", F.octet_length("text").alias("n"))
     return listed.join(size, ["book_id", "page_idx"]).groupBy("book_id", "chapter_id").agg(F.count(F.lit(1)).alias("n_pages"), F.sum("n").alias("n_bytes"))
@@ -290,11 +301,75 @@ def pck4(spark, d):
     return P.line_pages(docs(spark, d), ["doc_id"])
 
 
+@query("pck3_page_windows")
+def pck3_pages(spark, d):
+    """Word windows of whole books, with the pages they begin and end on."""
+    return P.page_windows(table(spark, d, "pages"), 500, 50)
+
+
 @query("pck5_fold_passes")
-def pck5(spark, d):
+def pck5_passes(spark, d):
     return P.fold_passes(leaves_of(spark, d), "book_id", "output_id", "cost", 24372, 4098)
 
 
+@query("pck5_fold")
+def pck5(spark, d):
+    """The outputs of each run folded into one text by the lexical analyzer."""
+    return P.fold_texts(outputs(spark, d), "run_id", "output_id", "text", 4000, LexicalAnalyzer(FOLD_WORDS))
+
+
+@query("pck5_fold_fallback", f"SELECT run_id, string_agg(text, chr(10) || chr(10) ORDER BY output_id) AS text FROM {OUTPUTS} WHERE text IS NOT NULL GROUP BY 1")
+def pck5_fallback(spark, d):
+    """A fold whose analyzer says nothing keeps all texts in order, whatever the number of passes."""
+    return P.fold_texts(outputs(spark, d), "run_id", "output_id", "text", 4000, Silent(), passes=3).select("run_id", "text")
+
+
+class Silent:
+    def __call__(self, prompts):
+        return [""] * len(prompts)
+
+
+FOLD_WORDS = ("appeal", "threat", "slogan", "promise")
+
+
 @query("udf1_analyze")
 def udf1(spark, d):
     return analyze(table(spark, d, "chapters").select("book_id", "chapter_id", "text").distinct(), ["book_id", "chapter_id"], LexicalAnalyzer(("appeal", "threat", "slogan", "promise")))
+
+
+@query("src6_extract", "SELECT doc_id, length(text)::INT AS n_chars, false AS failed FROM (SELECT doc_id, max(text) AS text FROM documents WHERE text IS NOT NULL GROUP BY 1) WHERE " + sql_sane("text") + " UNION ALL SELECT doc_id, NULL, true FROM documents GROUP BY doc_id HAVING max(text) IS NULL")
+def src6(spark, d):
+    """Texts whose first extraction is missing, spoilt by a shift of all characters, or sound; rows that read like text."""
+    rows = docs(spark, d).groupBy("doc_id").agg(F.max("text").alias("text"))
+    shifted, k = T.shift_bytes("text", SHIFT), F.col("doc_id") % 3
+    whole = rows.where(F.col("text").isNull() | T.looks_sane("text")).select("doc_id", F.when(k != 0, F.when(k == 1, shifted).otherwise(F.col("text"))).alias("primary"), F.when(k != 1, F.when(k == 0, F.col("text"))).alias("fallback"))
+    # a shift is told by the text it gives, so a longer shift that reads as well may come first: the length is compared
+    return readers.extract(whole, "doc_id").select("doc_id", F.length("text").alias("n_chars"), "failed")
+
+
+@query("run_pipeline")
+def run_pipeline(spark, d):
+    """Whole runs: pages to reports, with a lexical analyzer; one row a run."""
+    valid, _ = K.usable(readers.bundled_packets(spark))
+    r = pipeline.run(table(spark, d, "pages"), table(spark, d, "manifests"), valid, spark.createDataFrame([(w, w) for w in FOLD_WORDS], "category string, keyword string"), table(spark, d, "score_history"), LexicalAnalyzer(FOLD_WORDS))
+    n = r.outputs.groupBy("run_id").agg(F.count(F.lit(1)).alias("n_outputs"))
+    return r.reports.join(n, "run_id", "left").select("run_id", F.coalesce("n_outputs", F.lit(0)).cast("long").alias("n_outputs"), "text")
+
+
+PACKET_ROWS = "(VALUES (0, 10, 'framing', 2), (1, 20, 'authority', 2), (2, 30, 'urgency', 2), (3, 900, 'fusion', 2))"
+
+
+@query("src3_bundled_packets", f"SELECT ord::INT AS ord, packet_id, category, n_rules FROM {PACKET_ROWS} v(ord, packet_id, category, n_rules)")
+def src3(spark, d):
+    valid, _ = K.usable(readers.bundled_packets(spark))
+    return valid.select("ord", "packet_id", "category", F.size("rules").alias("n_rules"))
+
+
+@query("src1_2_layered_packets", f"SELECT ord::INT AS ord, packet_id, category, n_rules FROM {PACKET_ROWS} v(ord, packet_id, category, n_rules) UNION ALL SELECT 4, 10, 'framing', 2 UNION ALL SELECT 5, 20, 'authority', 2 UNION ALL SELECT 6, 30, 'urgency', 2 UNION ALL SELECT 7, 900, 'fusion', 2")
+def src1(spark, d):
+    """The bundled packets written out as two layers, scanned with a third one that is missing."""
+    folder = f"{shared_dir(spark)}/packets-{uuid.uuid4().hex}"
+    for layer in ("defaults", "model"):
+        readers.seed_packets(spark, f"{folder}/{layer}")
+    valid, _ = K.usable(readers.packets(spark, f"{folder}/defaults", f"{folder}/none", f"{folder}/model"))
+    return valid.select("ord", "packet_id", "category", F.size("rules").alias("n_rules"))

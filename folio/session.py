@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 CHECKPOINT = "spark.checkpoint.dir"
 
@@ -34,13 +38,36 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def first_rows(df: DataFrame, keys: list[str]) -> DataFrame:
+    """One row of each key (nulls are a key), where rows of a key are copies of each other.
+
+    Rows of files are told by file and place, so only keys and places are shuffled, and of the repeated rows all but the
+    first are left out; the columns of other rows stay where they are. Other tables are deduplicated whole."""
+    try:
+        placed = df.select("*", F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r")).alias("__at"))
+        placed.schema  # noqa: B018
+    except AnalysisException:
+        return df.dropDuplicates(keys)
+    again = placed.select(*keys, "__at").groupBy(*keys).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
+    names = [f"__k{i}" for i in range(len(keys))]
+    again = again.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], "__first")
+    same = F.lit(True)
+    for k, n in zip(keys, names):
+        same = same & placed[k].eqNullSafe(again[n])
+    kept = placed.join(again, same, "left").where(F.col("__first").isNull() | (F.col("__first") == F.col("__at")))
+    return kept.select(*df.columns)
+
+
 def build_session(app: str = "folio", cores: int | str = "*", partitions: int = 8) -> SparkSession:
-    """A local session with the settings the tests and the bench use."""
+    """A local session with the settings the tests and the bench use. Its shared folder is removed at the end."""
+    folder = tempfile.mkdtemp(prefix="folio-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
     return (
         SparkSession.builder.master(f"local[{cores}]")
         .appName(app)
         .config("spark.sql.shuffle.partitions", str(partitions))
         .config("spark.sql.session.timeZone", "UTC")
+        .config(CHECKPOINT, folder)
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.driver.memory", "8g")
         .config("spark.ui.enabled", "false")

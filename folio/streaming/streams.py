@@ -62,12 +62,20 @@ def recover(events: DataFrame, run: str, seq: str, error_class: str) -> DataFram
 
 
 def keep_scores(stream: DataFrame, path: str, result: str, checkpoint: str):
-    """STR-1: score rows are appended to a table as they come; after each batch the consensus of the newest books is
-    written beside it. The books' total order is book_seq, not the time of arrival."""
+    """STR-1: after each batch of score rows the consensus of the newest books is written. The books' total order is
+    book_seq, not the time of arrival.
 
-    def batch(df: DataFrame, _: int) -> None:
+    What is kept between batches are the distinct rows of the newest books alone, as the newest of all rows are the newest
+    of these and the new ones; older rows are never read again. Everything is written under the number of its batch, so a
+    repeated batch replaces itself."""
+
+    def batch(df: DataFrame, n: int) -> None:
         spark: SparkSession = df.sparkSession
-        df.write.mode("append").parquet(path)
-        scoring.consensus(scoring.newest(scoring.history(spark.read.parquet(path)))).write.mode("overwrite").parquet(result)
+        rows = df.select("book_seq", "model_name", "category", "score", "false_positives", "hits").where("score is not null")
+        if n > 0:
+            rows = rows.unionByName(spark.read.schema(rows.schema).parquet(f"{path}/batch={n - 1}"))
+        scoring.newest(rows.distinct()).write.mode("overwrite").parquet(f"{path}/batch={n}")
+        kept = spark.read.schema(rows.schema).parquet(f"{path}/batch={n}")
+        scoring.consensus(scoring.history(kept)).write.mode("overwrite").parquet(result)
 
     return stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()

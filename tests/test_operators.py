@@ -15,6 +15,7 @@ from folio.operators import packets as K
 from folio.operators import packing as P
 from folio.operators import scoring as S
 from folio.operators.analysis import LexicalAnalyzer, analyze
+from folio.operators.ordered import running_count
 from folio.operators.repair import byte_shift
 from folio.sources import readers, sinks
 
@@ -162,7 +163,7 @@ def test_oversized_chapter(spark):
 
 def test_running_count_blocks(spark):
     df = spark.createDataFrame([("a", i, i % 3 == 0) for i in range(50)], "k string, o int, f boolean")
-    got = sorted((r["o"], r["n"]) for r in C.running_count(df, "k", "o", "f", "n", block=7).collect())
+    got = sorted((r["o"], r["n"]) for r in running_count(df, "k", "o", "f", "n", block=7).collect())
     assert got == [(i, i // 3 + 1) for i in range(50)]
 
 
@@ -245,7 +246,119 @@ def test_analyzer(spark):
     assert got == {1: "- grammar: 2", 3: "No findings."}
 
 
-def test_scores_of_too_many_categories(spark):
-    outputs = spark.createDataFrame([(1, "m", "a")], "book_id long, model_name string, text string")
-    with pytest.raises(ValueError):
-        S.scores(outputs, spark.range(1001).selectExpr("cast(id as string) as category", "'a' as keyword"))
+def test_scores_of_many_categories(spark, monkeypatch):
+    """More categories than one expression holds are counted in blocks, with the same result."""
+    outputs = spark.createDataFrame([(1, "m", 1, "a bb a"), (1, "m", 1, "a bb a"), (1, "n", 2, None), (2, "m", 3, "")], "book_id long, model_name string, output_id long, text string")
+    words = spark.createDataFrame([(f"c{i}", w) for i, w in enumerate(["a", "bb", "", "b", "zz"])], "category string, keyword string")
+    few = sorted(map(tuple, S.scores(outputs, words, distinct=["output_id"]).collect()))
+    monkeypatch.setattr(S, "CATEGORIES", 2)
+    assert sorted(map(tuple, S.scores(outputs, words, distinct=["output_id"]).collect())) == few
+    assert len(few) == 15 and (1, "m", "c0", 2, 1.098612, 0) in few
+
+
+def test_many_patterns(spark, monkeypatch):
+    texts = spark.createDataFrame([(1, "One two"), (2, None), (3, "three")], "id long, text string")
+    patterns = spark.createDataFrame([(i, w) for i, w in enumerate(["one", "TWO", "", "hre", None, "none"])], "pattern_id int, pattern string")
+    few = sorted(map(tuple, K.pattern_hits(texts, patterns, ["id"]).collect()))
+    monkeypatch.setattr(K, "PATTERNS", 2)
+    assert sorted(map(tuple, K.pattern_hits(texts, patterns, ["id"]).collect())) == few == [(1, 0), (1, 1), (3, 3)]
+
+
+@pytest.mark.parametrize("block", [3, 1000])
+def test_ordered(spark, block):
+    """What rows hand on, over blocks, beside a loop; null keys are a key."""
+    from folio.operators import ordered
+
+    seq = [("a" if i % 3 else None, i, i % 7 if i % 4 else None) for i in range(60)]
+    df = spark.createDataFrame(seq, "k string, o long, v int")
+    up, before, count = {}, {}, {}
+    last, n = {}, {}
+    for k, o, v in seq:
+        before[o] = last.get(k)
+        last[k] = last.get(k) if v is None else v
+        n[k] = n.get(k, 0) + (v is None)
+        up[o], count[o] = last[k], n[k]
+    assert {r["o"]: r["x"] for r in ordered.carried(df, "k", "o", F.col("v"), "x", block).collect()} == up
+    assert {r["o"]: r["x"] for r in ordered.carried(df, "k", "o", F.col("v"), "x", block, before=True).collect()} == before
+    assert {r["o"]: r["x"] for r in ordered.running_count(df.withColumn("f", F.col("v").isNull()), "k", "o", "f", "x", block).collect()} == count
+    steps = spark.createDataFrame([(k, o, "abc"[o % 3] if o % 5 else None) for k, o, _ in seq], "k string, o long, r string")
+    step = lambda s, r: (r, s) if r and (s, r) != ("a", "b") else (s, "no")
+    state, want = {}, {}
+    for k, o, _ in seq:
+        state[k], want[o] = step(state.get(k, "a"), "abc"[o % 3] if o % 5 else None)
+    assert {r["o"]: r["m"] for r in ordered.automaton(steps, "k", "o", "r", ["a", "b", "c"], step, "a", "m string", block).collect()} == want
+    assert ordered.automaton(steps.limit(0), "k", "o", "r", ["a", "b", "c"], step, "a", "m string", block).count() == 0
+
+
+def test_packet_layers(spark, tmp_path):
+    """Folders in order, one of them missing; a malformed, an invalid and a too large packet are skipped with their reason."""
+    a, b = tmp_path / "a", tmp_path / "b"
+    a.mkdir(), b.mkdir()
+    readers.seed_packets(spark, str(a))
+    (b / "1.json").write_text("{")
+    (b / "2.json").write_text('{"packet_id": 7, "category": "c", "rules": [], "hit_conditions": {"confidence_weight": 1.0}}')
+    (b / "notes.txt").write_text("{}")
+    valid, skipped = K.usable(readers.packets(spark, str(a), str(tmp_path / "none"), str(b)))
+    assert [r["packet_id"] for r in valid.orderBy("ord").collect()] == [10, 20, 30, 900]
+    assert {(r["path"].split("/")[-1], r["reason"]) for r in skipped.collect()} == {("1.json", "malformed"), ("2.json", "packet 7 has no rules")}
+    assert readers.packets(spark, str(tmp_path / "none")).count() == 0 and readers.packets(spark).count() == 0
+    prompt = K.prompt(K.merge(valid)).first()["prompt"]
+    assert prompt.startswith("[RAG-PACKET 010]") and "Everyone agrees, at once" in prompt and "Unnamed experts again" not in prompt
+
+
+def test_headers_read_the_head(spark, tmp_path, monkeypatch):
+    """A weight file is read as far as its header goes, in growing steps."""
+    import struct
+
+    text = lambda s: struct.pack("<Q", len(s)) + s
+    pairs = text(b"a.tokens") + struct.pack("<IIQ", 9, 8, 200) + text(b"token") * 200 + text(b"x.context_length") + struct.pack("<II", 4, 4096)
+    (tmp_path / "m.gguf").write_bytes(b"GGUF" + struct.pack("<IQQ", 3, 0, 2) + pairs + b"0" * 100_000)
+    (tmp_path / "n.gguf").write_bytes(b"none")
+    monkeypatch.setattr(readers, "HEAD_BYTES", 64)
+    files = spark.read.format("binaryFile").load(str(tmp_path)).select("path")
+    got = {r["path"].split("/")[-1]: (r["context_length"], r["block_count"]) for r in readers.headers(files).collect()}
+    assert got == {"m.gguf": (4096, None), "n.gguf": (None, None)}
+
+
+def test_failed_runs(spark):
+    """A run of a book without pages fails; one whose analyzer says nothing has no output either."""
+    from folio.plans import pipeline
+
+    pages = spark.createDataFrame([(1, 0, "Chapter 1 One\nThe appeal of the reader.")], "book_id long, page_idx int, text string")
+    manifests = spark.createDataFrame(
+        [("Run_a", 1, "1", "m", None, None, None, None), ("Run_b", 2, "full", "m", None, None, "f", 4096)], "run_id string, book_id long, mode string, model1 string, model2 string, model3 string, fusion string, context_length long"
+    ).withColumn("started_at", F.lit("2024-01-01").cast("timestamp"))
+    history = spark.createDataFrame([], "book_seq long, model_name string, category string, score double, false_positives long, hits long")
+    packets, _ = K.usable(readers.bundled_packets(spark))
+    words = spark.createDataFrame([("appeal", "appeal")], "category string, keyword string")
+    r = pipeline.run(pages, manifests, packets, words, history, LexicalAnalyzer(["appeal"]))
+    assert [x["run_id"] for x in r.failed.collect()] == ["Run_b"]
+    texts = {x["run_id"]: x["text"] for x in r.reports.collect()}
+    assert texts["Run_b"].startswith("Run complete.") and "- appeal: 1" in texts["Run_a"]
+    assert [(x["category"], x["hits"]) for x in r.history.collect()] == [("appeal", 1)]
+    silent = pipeline.run(pages, manifests, packets, words, history, lambda prompts: [""] * len(prompts))
+    assert silent.outputs.count() == 0 and silent.failed.count() == 2
+
+
+def test_extraction(spark):
+    text = "The candid argument of the reader supports the narrow claim of the village and is in a book to read."
+    shift = lambda t, k: "".join(chr(x) if 0x20 <= (x := (ord(c) - k) & 0xFF) <= 0x7E and c != " " else c for c in t)
+    rows = [(1, text, None), (2, shift(text, 3), text), (3, None, shift(text, 3)), (4, None, None), (5, "x" * 100, "y" * 100)]
+    got = {r["id"]: (r["text"], r["failed"]) for r in readers.extract(spark.createDataFrame(rows, "id long, primary string, fallback string"), "id").collect()}
+    assert got[1] == got[2] == (text, False) and got[4] == got[5] == (None, True)
+    assert got[3][1] is False and len(got[3][0]) == len(text)
+
+
+def test_score_stream_in_batches(spark, tmp_path):
+    """A stream of several batches keeps the newest books alone, and gives what one batch of all rows gives."""
+    from folio.streaming import streams
+
+    rows = [(b, m, c, float(b % 5 + (m == "a") + (c == "x")), b % 2, 3) for b in range(30) for m in "ab" for c in "xy"]
+    whole = spark.createDataFrame(rows, SCHEMA)
+    for k in range(3):
+        spark.createDataFrame(rows[k::3], SCHEMA).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(whole.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    streams.keep_scores(stream, str(tmp_path / "kept"), str(tmp_path / "out"), str(tmp_path / "check")).awaitTermination()
+    want = S.consensus(S.newest(S.history(whole)))
+    assert sorted(map(tuple, spark.read.parquet(str(tmp_path / "out")).collect())) == sorted(map(tuple, want.collect()))
+    assert spark.read.parquet(str(tmp_path / "kept" / "batch=2")).select("book_seq").distinct().count() == 10
