@@ -8,7 +8,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folio.operators.ordered import automaton, carried, running_count
+from folio.operators.ordered import automaton, carried, carried_all, running_counts
 
 #: Kinds of errors and their classes, in the order of the kinds (fixed values); a kind is family, or family and member.
 ERROR_CLASSES = {
@@ -85,12 +85,13 @@ def error_class(kind: Column) -> Column:
 def recovery_actions(events: DataFrame, run: str, seq: str, error_class: str, reset: str = "GpuFallback") -> DataFrame:
     """STR-3: the action of every event. Counters of a run start again behind a reset event, so the count of a class less
     what it was at the last reset decides."""
-    rows, action = events, F.element_at(F.create_map(*[F.lit(x) for p in SINGLE.items() for x in p]), F.col(error_class))
+    n = {c: f"__n_{c}" for c in PERIODS}
+    rows = running_counts(events, run, seq, {n[c]: F.col(error_class) == c for c in PERIODS})
+    at_reset = {f"__r_{c}": F.when(F.col(error_class) == reset, F.col(n[c])) for c in PERIODS}
+    rows = carried_all(rows, run, seq, at_reset)
+    action = F.element_at(F.create_map(*[F.lit(x) for p in SINGLE.items() for x in p]), F.col(error_class))
     for c, (period, often, last) in PERIODS.items():
-        n, base = f"__n_{c}", f"__r_{c}"
-        rows = running_count(rows.withColumn("__f", F.col(error_class) == c), run, seq, "__f", n)
-        rows = carried(rows, run, seq, F.when(F.col(error_class) == reset, F.col(n)), base)
-        k = F.col(n) - F.coalesce(base, F.lit(0))
+        k = F.col(n[c]) - F.coalesce(f"__r_{c}", F.lit(0))
         action = F.when(F.col(error_class) == c, F.when(k % period != 0, often).otherwise(last)).otherwise(action)
     return rows.withColumn("action", action).select(*events.columns, "action")
 

@@ -16,28 +16,41 @@ from folio.operators.arrow import map_rows
 BLOCK = 1 << 16
 
 
-def running_count(df: DataFrame, key: str, order: str, flag: str, out: str, block: int = BLOCK) -> DataFrame:
-    """How many flagged rows of the key come up to each row."""
-    blocked = df.withColumn("__b", F.floor(F.col(order) / block))
+def running_counts(df: DataFrame, key: str, order: str, flags: dict[str, Column], block: int = BLOCK) -> DataFrame:
+    """For each flag (out -> condition) how many rows of the key that have it come up to each row."""
+    ones = {f"__f{i}": F.coalesce(c.cast("long"), F.lit(0).cast("long")) for i, c in enumerate(flags.values())}
+    blocked = df.withColumn("__b", F.floor(F.col(order) / block)).withColumns(ones)
     inner = W.partitionBy(key, "__b").orderBy(order).rowsBetween(W.unboundedPreceding, 0)
-    sums = blocked.groupBy(key, "__b").agg(F.sum(F.col(flag).cast("long")).alias("__s"))
+    sums = blocked.groupBy(key, "__b").agg(*[F.sum(f).alias(f) for f in ones])
     outer = W.partitionBy(key).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
-    before = sums.select(F.col(key).alias("__k"), F.col("__b").alias("__c"), F.coalesce(F.sum("__s").over(outer), F.lit(0)).alias("__before"))
-    counted = blocked.withColumn("__in", F.coalesce(F.sum(F.col(flag).cast("long")).over(inner), F.lit(0)))
+    before = sums.select(F.col(key).alias("__k"), F.col("__b").alias("__c"), *[F.coalesce(F.sum(f).over(outer), F.lit(0)).alias(f"{f}b") for f in ones])
     same = F.col(key).eqNullSafe(F.col("__k")) & F.col("__b").eqNullSafe(F.col("__c"))
-    return counted.join(before, same).withColumn(out, F.col("__in") + F.col("__before")).drop("__b", "__in", "__before", "__k", "__c")
+    counted = blocked.select("*", *[F.sum(f).over(inner).alias(f"{f}i") for f in ones]).join(before, same)
+    return counted.select(*df.columns, *[(F.col(f"{f}i") + F.col(f"{f}b")).alias(out) for f, out in zip(ones, flags)])
 
 
-def carried(df: DataFrame, key: str, order: str, value: Column, out: str, block: int = BLOCK, before: bool = False) -> DataFrame:
-    """The last value that isn't null up to each row of a key; with before, up to the row before it."""
-    blocked = df.withColumn("__b", F.floor(F.col(order) / block)).withColumn("__v", value)
+def running_count(df: DataFrame, key: str, order: str, flag: str, out: str, block: int = BLOCK) -> DataFrame:
+    """How many flagged rows of the key come up to each row."""
+    return running_counts(df, key, order, {out: F.col(flag)}, block)
+
+
+def carried_all(df: DataFrame, key: str, order: str, values: dict[str, Column], block: int = BLOCK, before: bool = False) -> DataFrame:
+    """For each value (out -> column) the last one that isn't null up to each row of a key; with before, up to the row
+    before it."""
+    given = {f"__v{i}": c for i, c in enumerate(values.values())}
+    blocked = df.withColumn("__b", F.floor(F.col(order) / block)).withColumns(given)
     inner = W.partitionBy(key, "__b").orderBy(order).rowsBetween(W.unboundedPreceding, -1 if before else 0)
-    last = blocked.groupBy(key, "__b").agg(F.max_by("__v", F.when(F.col("__v").isNotNull(), F.col(order))).alias("__l"))
+    last = blocked.groupBy(key, "__b").agg(*[F.max_by(v, F.when(F.col(v).isNotNull(), F.col(order))).alias(v) for v in given])
     outer = W.partitionBy(key).orderBy("__b").rowsBetween(W.unboundedPreceding, -1)
-    handed = last.select(F.col(key).alias("__k"), F.col("__b").alias("__c"), F.last("__l", ignorenulls=True).over(outer).alias("__h"))
+    handed = last.select(F.col(key).alias("__k"), F.col("__b").alias("__c"), *[F.last(v, ignorenulls=True).over(outer).alias(f"{v}h") for v in given])
     same = F.col(key).eqNullSafe(F.col("__k")) & F.col("__b").eqNullSafe(F.col("__c"))
-    found = blocked.withColumn("__in", F.last("__v", ignorenulls=True).over(inner)).join(handed, same)
-    return found.withColumn(out, F.coalesce("__in", "__h")).drop("__b", "__v", "__in", "__h", "__k", "__c")
+    found = blocked.select("*", *[F.last(v, ignorenulls=True).over(inner).alias(f"{v}i") for v in given]).join(handed, same)
+    return found.select(*df.columns, *[F.coalesce(f"{v}i", f"{v}h").alias(out) for v, out in zip(given, values)])
+
+
+def carried(df: DataFrame, key: str, order: str, value: Column, out: str, block: int = BLOCK, before: bool = False) -> DataFrame:
+    """The last value that isn't null up to each row of a key; with before, up to the row before it."""
+    return carried_all(df, key, order, {out: value}, block, before)
 
 
 def automaton(events: DataFrame, key: str, order: str, request: str, states: list[str], step, start: str, ddl: str, block: int = BLOCK) -> DataFrame:

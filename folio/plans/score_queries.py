@@ -17,7 +17,7 @@ from folio.operators.analysis import diagnosis, prompt
 from folio.plans.catalog import query
 from folio.plans.text_queries import OUTPUTS, outputs, sql_strip, sql_trim
 from folio.sources import readers, sinks
-from folio.session import table
+from folio.session import spread, table
 
 HISTORY = (
     "h AS (SELECT book_seq, model_name, category, CASE WHEN coalesce(false_positives, 0) = 0 THEN score ELSE greatest(score - least(0.1 * false_positives, 0.3 * score), 0.0) END AS score, "
@@ -85,7 +85,7 @@ MENTIONS = "CASE WHEN k = '' THEN 0 ELSE (length(lower(coalesce(text, ''))) - le
     f"FROM {OUTPUTS}, (VALUES {', '.join(f'{w!r}' for w in WORDS)}) c(category, k) GROUP BY 1, 2, 3",
 )
 def agg1(spark, d):
-    return S.scores(table(spark, d, "model_outputs"), spark.createDataFrame(WORDS, "category string, keyword string"), distinct=["output_id"])
+    return S.scores(spread(table(spark, d, "model_outputs")), spark.createDataFrame(WORDS, "category string, keyword string"), distinct=["output_id"])
 
 
 @query(

@@ -14,7 +14,7 @@ from folio.operators import packets as K
 from folio.operators.repair import byte_shift
 from folio.plans import pipeline
 from folio.plans.catalog import query
-from folio.session import first_rows, shared_dir, table
+from folio.session import first_rows, shared_dir, spread, table
 from folio.sources import readers
 
 CTRL = r"[\x00-\x09\x0B-\x1F\x7F-\x{9F}]"
@@ -59,11 +59,11 @@ NOISY = "'Loading model' || chr(10) || chr(10) || 'build: 4' || chr(10) || text
 
 
 def outputs(spark, d):
-    return first_rows(table(spark, d, "model_outputs"), ["output_id"])
+    return spread(first_rows(table(spark, d, "model_outputs"), ["output_id"]))
 
 
 def docs(spark, d):
-    return table(spark, d, "documents")
+    return spread(table(spark, d, "documents"))
 
 
 @query("txt1_normalize", f"SELECT doc_id, trim(regexp_replace(regexp_replace(text, '{CTRL}', '', 'g'), '{SP}', ' ', 'g')) AS clean FROM documents")

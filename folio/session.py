@@ -38,23 +38,46 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """A scan of fewer parts than half the cores, spread over all of them before work on its texts. Such a table is a few
+    small files; larger ones, which have parts enough, stay as they are."""
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+
+
+#: Keys that occur more than once are broadcast up to so many.
+FEW_KEYS = 200_000
+
+
 def first_rows(df: DataFrame, keys: list[str]) -> DataFrame:
     """One row of each key (nulls are a key), where rows of a key are copies of each other.
 
-    Rows of files are told by file and place, so only keys and places are shuffled, and of the repeated rows all but the
-    first are left out; the columns of other rows stay where they are. Other tables are deduplicated whole."""
+    The keys that occur more than once are counted first, which moves keys alone. If they prove to be few, their rows are
+    told by file and place, and all but the first are left out where they lie; no other column is moved. Else, and for
+    tables that aren't read from files, the table is deduplicated whole."""
+    again = cut(df.select(*keys).groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").drop("__n"))
+    n = again.limit(FEW_KEYS + 1).count()
+    if n == 0:
+        return df
+    if n > FEW_KEYS:
+        return df.dropDuplicates(keys)
     try:
         placed = df.select("*", F.struct(F.col("_metadata.file_path").alias("f"), F.col("_metadata.row_index").alias("r")).alias("__at"))
         placed.schema  # noqa: B018
     except AnalysisException:
         return df.dropDuplicates(keys)
-    again = placed.select(*keys, "__at").groupBy(*keys).agg(F.min("__at").alias("__first"), F.count(F.lit(1)).alias("__n")).where("__n > 1")
     names = [f"__k{i}" for i in range(len(keys))]
-    again = again.select(*[F.col(k).alias(n) for k, n in zip(keys, names)], "__first")
-    same = F.lit(True)
-    for k, n in zip(keys, names):
-        same = same & placed[k].eqNullSafe(again[n])
-    kept = placed.join(again, same, "left").where(F.col("__first").isNull() | (F.col("__first") == F.col("__at")))
+    again = again.toDF(*names)
+
+    def same(rows: DataFrame, small: DataFrame):
+        out = F.lit(True)
+        for k, x in zip(keys, names):
+            out = out & rows[k].eqNullSafe(small[x])
+        return out
+
+    narrow = placed.select(*keys, "__at")
+    first = narrow.join(F.broadcast(again), same(narrow, again)).groupBy(*names).agg(F.min("__at").alias("__first"))
+    kept = placed.join(F.broadcast(first), same(placed, first), "left").where(F.col("__first").isNull() | (F.col("__first") == F.col("__at")))
     return kept.select(*df.columns)
 
 
