@@ -30,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.common import Found, map_rows, with_lookup
-from folio.session import table
+from folio.session import spread, table
 
 #: Encodings that UTF-8 is taken for, and pairs (taken for, really) of one-byte encodings: fixed lists of codec names.
 WRONG = ("cp1252", "latin-1", "cp1250", "cp1251", "cp850", "cp437", "mac_roman", "cp852", "cp866", "koi8_r", "iso8859_2", "iso8859_15", "cp1254", "mac_cyrillic", "iso8859_5")
@@ -507,7 +507,7 @@ def restore_all(documents: DataFrame, key: str = "doc_id", text: str = "text", l
         return [(c[key][i], restored, whole)] if affected else []
 
     more = {} if limit is None else {"limit": limit}
-    rows = documents.select(key, F.col(text).alias("text"))
+    rows = spread(documents.select(key, F.col(text).alias("text")))
     return with_lookup(rows, pair_counts(rows), wanted, decide, f"`{key}` {kind}, restored string, whole boolean", state=PairScores, always=[NEVER], **more)
 
 

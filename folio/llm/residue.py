@@ -30,7 +30,7 @@ from pyspark.sql import functions as F
 
 from folio.llm.common import Found, map_rows, with_lookup
 from folio.llm.residue_exemplars import NOTICES, PLACEHOLDERS
-from folio.session import cut, table
+from folio.session import cut, spread, table
 
 WORDS = re.compile(r"[^\W\d_]+").findall
 PASSAGE = re.compile(r"(?<=[.!?…;:])\s+|\n+|</?\w+[^<>]*>")
@@ -244,7 +244,7 @@ def find_residue(outputs: DataFrame, key: str = "output_id", notices: list[tuple
         return [(c[key][i],)] if t is not None and t.strip() and judge.residue(t) else []
 
     always = {COUNT, *every, *(w for _, words, _ in placeholders() for w in words)}
-    rows = outputs.select(key, "text")
+    rows = spread(outputs.select(key, "text"))
     return with_lookup(rows, document_counts(rows, every), wanted, decide, f"`{key}` {kind}", limit, lambda found: Judge(found, labelled), always).distinct()
 
 

@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from folio.llm.common import map_rows, with_lookup
-from folio.session import cut, table
+from folio.session import cut, spread, table
 
 #: Characters (as misread, as printed) that recognition confuses: fixed list.
 CONFUSED = (
@@ -592,6 +592,7 @@ def read_windows(raw: DataFrame, lexicon: DataFrame, limit: int | None = None) -
 
 
 def units_of(pages: DataFrame, chapters: DataFrame) -> DataFrame:
+    pages, chapters = spread(pages), spread(chapters)
     return pages.select(F.lit("pages").alias("origin"), "book_id", F.col("page_idx").cast("int").alias("unit_id"), "text").unionByName(
         chapters.select(F.lit("chapters").alias("origin"), "book_id", F.col("chapter_id").cast("int").alias("unit_id"), "text")
     )

@@ -34,7 +34,7 @@ from pyspark.sql import functions as F
 
 from folio.llm.common import map_rows, with_lookup
 from folio.llm.residue import WORDS, exemplars
-from folio.session import cut, table
+from folio.session import cut, spread, table
 
 LAST_WORD = re.compile(r"\w+(?:['’\-]\w+)*$")
 CLOSERS = "\"'”’»)]*"
@@ -255,6 +255,7 @@ def complete_share(ratios: list[tuple[float, int]], rounds: int = 200) -> float:
 def cut_evidence(outputs: DataFrame, key: str = "output_id", limit: int | None = None) -> DataFrame:
     """key, why of each cut text."""
     kind_of_key = outputs.schema[key].dataType.simpleString()
+    outputs = spread(outputs.select(key, "text"))
 
     def tails(batches):
         for c in batches:
