@@ -331,15 +331,20 @@ def window_reading(window: str, found) -> str | None:
     return ("w" if "".join(path) == chars else "x") + " ".join(path)
 
 
-def windows_of(lines: list[str], found) -> list[tuple[int, int, int, str]]:
-    """(line, place of the first word, words on that line, window) of the runs of rare tokens, with the word before and the
+def windows_of(lines: list[str], tokens: set[str]) -> list[tuple[int, int, int, str]]:
+    """(line, place of the first word, words on that line, window) of the runs of these (rare) tokens, with the word before and the
     one behind, that no mark divides; a run may go on in the next line."""
     out = []
     stream: list[tuple[int, int, str]] = []
     broken = False
-    has = [any(found.get(w, "") == "f" for w in line.split()) for line in lines]
-    for k, line in enumerate(lines):
-        words = line.split()
+    split = [line.split() for line in lines]
+    has = [not tokens.isdisjoint(words) for words in split]
+    for k, words in enumerate(split):
+        if not (has[k] or has[max(0, k - 1)] or has[min(k + 1, len(has) - 1)]) and words:
+            if stream and stream[-1][2]:
+                stream.append((k, 0, ""))  # too far from any rare token
+            broken = words[-1][-1] in HYPHEN_SET
+            continue
         if not words:
             stream.append((k, 0, ""))
             continue
@@ -351,7 +356,7 @@ def windows_of(lines: list[str], found) -> list[tuple[int, int, int, str]]:
         broken = words[-1][-1] in HYPHEN_SET
     n, i = len(stream), 0
     joins = [stream[i][2][-1:].isalpha() and stream[i + 1][2][:1].isalpha() for i in range(n - 1)] + [False]
-    rare = [found.get(w, "") == "f" for _, _, w in stream]
+    rare = [w in tokens for _, _, w in stream]
     while i < n:
         if not rare[i]:
             i += 1
@@ -577,8 +582,9 @@ def raw_noise(units: DataFrame, table_of_readings: DataFrame, limit: int | None
         head = (c["origin"][i], c["book_id"][i], c["unit_id"][i])
         lines = t.split("\n")
         out = [(*head, k, kind, lines[k] if kind == "line" else None, None, None) for k, kind in noisy_lines(t, found)]
-        if any(found.get(w, "") == "f" for w in set(t.split())):
-            out.extend((*head, k, "window", window, at, n) for k, at, n, window in windows_of(lines, found))
+        rare = {w for w in set(t.split()) if found.get(w, "") == "f"}
+        if rare:
+            out.extend((*head, k, "window", window, at, n) for k, at, n, window in windows_of(lines, rare))
         return out
 
     return with_lookup(units, table_of_readings, wanted, decide, RAW, limit)
