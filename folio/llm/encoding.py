@@ -166,8 +166,10 @@ def _irregular(line: str) -> int:
 def garbled_form(line: str) -> bool:
     """Whether the words of a line are irregular, and a one-byte mapping makes nearly all of them regular."""
     n = sum(map(len, RUN.findall(line)))
+    if n < PAIRS:
+        return False
     bad = _irregular(line)
-    if n < PAIRS or bad < GAIN * n:
+    if bad < GAIN * n:
         return False
     for wrong, right in ONE_BYTE:
         raw = _raw(line, wrong)
@@ -194,13 +196,22 @@ def _counts(batches):
                 continue
             seen: set[str] = {"\n"} if "\n" in t else set()
             for line in t.split("\n"):
+                if line.isascii():
+                    seen.update(line)
+                    continue
+                runs = RUN.findall(line)
+                whole = any(len(r) > 1 and utf8_behind(r) is not None for r in runs)
+                if not whole:
+                    if not garbled_form(line):
+                        seen.update(line)
+                        seen.update(_pairs(line))
+                    continue
                 kept = RUN.sub(lambda m: m.group() if utf8_behind(m.group()) is None else NEVER, line)
                 if kept.isascii() or not garbled_form(kept.replace(NEVER, "")):
                     seen.update(line)
                     for m in RUN.finditer(line):
                         if utf8_behind(m.group()) is None:
-                            part = line[max(0, m.start() - 1) : m.end() + 1]
-                            seen.update(map("".join, zip(part, part[1:])))
+                            seen.update(_pairs(line[max(0, m.start() - 1) : m.end() + 1]))
             count.update(seen)
         if len(count) > 300_000:
             yield list(count.items())
