@@ -4,7 +4,8 @@ The size of the mix is the largest at which every source can give its share with
 max_repeats * tokens / share over the sources that have tokens. Each document of a source then has the same expected
 number of copies; the whole part is taken outright and the fraction is rounded at random, but dependently: two
 documents of fractions p and q and sizes a and b pass mass to each other (a * p + b * q stays) until one of them is 0
-or 1, and the other goes on. So the tokens of a source miss its share by less than one document, whatever the sizes.
+or 1, and the other goes on, from large documents to small ones. So the tokens of a source miss its share by less than
+one document, mostly a small one.
 
 A source is rounded in buckets of a bounded number of documents, and what each bucket leaves over (at most one
 document) is rounded in the same way up a reduction tree, so a source with a third of all rows is no single task.
@@ -61,7 +62,7 @@ def pivot(p: np.ndarray, size: np.ndarray, rng: np.random.Generator) -> np.ndarr
 
 
 def _round_group(pdf: pd.DataFrame) -> pd.DataFrame:
-    pdf = pdf.sort_values("doc_id", kind="stable")
+    pdf = pdf.sort_values(["n_tokens", "doc_id"], ascending=[False, True], kind="stable")
     seed = zlib.crc32(f"{pdf.source.iloc[0]}|{pdf.bucket.iloc[0]}|{len(pdf)}|{SEED}".encode())
     pdf["extra"] = pivot(pdf.extra.to_numpy(float), pdf.n_tokens.to_numpy(float), np.random.default_rng(seed))
     return pdf
@@ -79,7 +80,8 @@ def targets_of(targets: DataFrame) -> DataFrame:
 def mix(documents: DataFrame, targets: DataFrame, folder: str = TOKENIZERS) -> DataFrame:
     """doc_id, source, n_tokens, copies of every document that takes part in the mix."""
     wanted = targets_of(targets)
-    sized = count_tokens(documents.join(F.broadcast(wanted) if _small(wanted) else wanted, "source", "left_semi").where("text is not null"), ["doc_id", "source"], folder=folder)
+    small = F.broadcast if _small(wanted) else lambda x: x  # measured once
+    sized = count_tokens(documents.join(small(wanted), "source", "left_semi").where("text is not null"), ["doc_id", "source"], folder=folder)
     sized = cut(sized.where("n_tokens > 0"))
     sources = sized.groupBy("source").agg(F.sum("n_tokens").alias("tokens"), F.count(F.lit(1)).alias("docs")).join(wanted, "source")
     total = sources.select((F.col("max_repeats") * F.col("tokens") / F.col("target_share")).alias("t"), "target_share").agg(F.min("t"), F.sum("target_share")).first()
@@ -90,7 +92,7 @@ def mix(documents: DataFrame, targets: DataFrame, folder: str = TOKENIZERS) -> D
         F.least(F.col("max_repeats"), F.lit(total[0] or 0.0) * F.col("target_share") / F.col("tokens")).alias("expected"),
     )
     # sources number at most the rows of the targets, whose size was checked
-    items = sized.join(F.broadcast(per_source) if _small(wanted) else per_source, "source").select(
+    items = sized.join(small(per_source), "source").select(
         "doc_id",
         "source",
         "n_tokens",
