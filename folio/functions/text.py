@@ -131,6 +131,11 @@ def spaced_text(ops: Column) -> Column:
     return F.aggregate(ops, start, step, lambda s: s["t"])
 
 
+def pretty_json(row: Column) -> Column:
+    """TXT-21: a struct of plain values as JSON on several lines, two spaces deep."""
+    return F.regexp_replace(F.to_json(row, {"pretty": "true"}), r'(?m)^(\s*"(?:[^"\\]|\\.)*") : ', "$1: ")
+
+
 def count_mentions(c: Column | str, keyword: Column | str) -> Column:
     """TXT-7: literal, case-insensitive, non-overlapping; an empty keyword counts 0, a null text 0."""
     return mentions_in(F.lower(F.coalesce(col(c), F.lit(""))), keyword)

@@ -44,6 +44,26 @@ def verify(expected: DataFrame, found: DataFrame) -> DataFrame:
     return expected.join(f, ["repo", "filename"], "left").select("repo", "filename", fault.alias("fault"))
 
 
+def first_faults(expected: DataFrame, found: DataFrame) -> DataFrame:
+    """JON-6: per repo the first file, in the order ord of expected, that has a fault, and the fault; a sound repo has no row."""
+    faults = verify(expected, found).where("fault is not null").join(expected.select("repo", "filename", "ord"), ["repo", "filename"])
+    return faults.groupBy("repo").agg(F.min(F.struct("ord", "filename", "fault")).alias("f")).select("repo", "f.filename", "f.fault")
+
+
+def partial_downloads(listing: DataFrame) -> DataFrame:
+    """SRC-10: weight files that are still being written, by name: filename without .part and size in MB (of the largest of a
+    name). Sorted (SRT-1)."""
+    rows = listing.where(F.lower("filename").endswith(".gguf.part")).select(F.regexp_replace("filename", r"(\.part)+$", "").alias("filename"), "size")
+    return rows.groupBy("filename").agg((F.max("size") / 1048576).alias("size_mb")).orderBy("filename")
+
+
+def ordered_shards(listing: DataFrame) -> DataFrame:
+    """SET-6: repo, filenames of its weight files by index (the file without one first), then by name."""
+    rows = listing.where(F.lower("filename").rlike(r"\.gguf(\.\d+)?$")).withColumn("i", F.coalesce(shard_index(F.col("filename")), F.lit(-1)))
+    ordered = F.array_sort(F.collect_list(F.struct("i", "filename")))  # the files of one model
+    return rows.groupBy("repo").agg(F.transform(ordered, lambda x: x["filename"]).alias("filenames"))
+
+
 def whole(listing: DataFrame) -> DataFrame:
     """SRC-13, JON-7: files without a sibling that is still being written (name.part)."""
     part = listing.where(F.col("filename").endswith(".part")).select("repo", F.expr("substring(filename, 1, length(filename) - 5)").alias("filename"))
@@ -92,6 +112,6 @@ def upsert(state: DataFrame, changes: DataFrame, key: str, order: str) -> DataFr
 
 
 def library(listing: DataFrame) -> DataFrame:
-    """SRC-10, SET-7, SRT-1: distinct weight files by name with their size in MB."""
+    """SRC-10, SET-7, SRT-1: distinct weight files with their size in MB, sorted by name."""
     mb = F.floor(F.max("size") / 1048576)
-    return listing.where(F.lower("filename").endswith(".gguf")).groupBy("filename").agg(mb.alias("size_mb"))
+    return listing.where(F.lower("filename").endswith(".gguf")).groupBy("filename").agg(mb.alias("size_mb")).orderBy("filename")

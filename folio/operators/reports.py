@@ -63,6 +63,21 @@ def report_of(rows: DataFrame) -> DataFrame:
     return block.groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("model_name", "block"))), lambda x: x["block"]), "").alias("report"))
 
 
+#: Title of a report's pages (a parameter), and what it has behind it from the second page on (fixed value).
+TITLE, CONTINUED, LINES_PER_PAGE = "Analysis Results", " (continued)", 55
+
+
+def report_pages(reports: DataFrame, keys: list[str], text: str = "text", title: str = TITLE, lines: int = LINES_PER_PAGE) -> DataFrame:
+    """SNK-4: keys, page_no, title, page of each report: so many lines to a page, the title on the first and the title with
+    "(continued)" on the others. A report without lines, or null, is one page without text."""
+    # what stands behind the last line feed is a line only if it holds anything
+    body = F.regexp_replace(F.regexp_replace(F.coalesce(text, F.lit("")), "\r\n", "\n"), "\n$", "")
+    rows = reports.select(*keys, F.split(body, "\n").alias("l"))
+    paged = rows.select(*keys, "l", F.explode(F.sequence(F.lit(0), F.ceil(F.size("l") / lines).cast("int") - 1)).alias("page_no"))
+    page = F.array_join(F.slice("l", F.col("page_no") * lines + 1, lines), "\n")
+    return paged.select(*keys, "page_no", F.when(F.col("page_no") == 0, title).otherwise(title + CONTINUED).alias("title"), page.alias("page"))
+
+
 def log_line(ts: Column, subsystem: Column, level: Column, message: Column, metadata: Column) -> Column:
     """SNK-10: a log entry; metadata (a map, may be null) by sorted keys."""
     pairs = F.array_join(F.transform(F.array_sort(F.map_entries(metadata)), lambda e: F.concat(F.lit('"'), e["key"], F.lit('": "'), e["value"], F.lit('"'))), ", ")

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import uuid
+from functools import reduce
+
 from pyspark.sql import functions as F
 
 from folio.functions import numeric as N
@@ -17,7 +20,7 @@ from folio.operators.analysis import diagnosis, prompt
 from folio.plans.catalog import query
 from folio.plans.text_queries import OUTPUTS, outputs, sql_strip, sql_trim
 from folio.sources import readers, sinks
-from folio.session import spread, table
+from folio.session import shared_dir, spread, table
 
 HISTORY = (
     "h AS (SELECT book_seq, model_name, category, CASE WHEN coalesce(false_positives, 0) = 0 THEN score ELSE greatest(score - least(0.1 * false_positives, 0.3 * score), 0.0) END AS score, "
@@ -716,3 +719,62 @@ def per12(spark, d):
     changes = table(spark, d, "events").select("user_id", "event_id", op.alias("op"), F.col("event_id").alias("done"), (F.col("event_id") % 2 == 0).alias("complete"))
     state = table(spark, d, "customer").select(F.col("c_custkey").alias("user_id"), F.lit(7).cast("long").alias("done"), F.lit(True).alias("complete"))
     return FS.upsert(state, changes, "user_id", "event_id")
+
+
+@query(
+    "jon6_first_faults",
+    "WITH v AS (SELECT p_brand AS repo, 'f' || p_partkey AS filename, p_partkey AS ord, CASE WHEN p_partkey % 50 = 0 THEN 'missing' WHEN p_size > 0 AND p_partkey % 70 = 0 THEN 'size' WHEN p_partkey % 26 = 0 THEN 'checksum' END AS fault FROM part) "
+    "SELECT repo, arg_min(filename, ord) AS filename, arg_min(fault, ord) AS fault FROM v WHERE fault IS NOT NULL GROUP BY 1",
+)
+def jon6_first(spark, d):
+    p, k = table(spark, d, "part"), F.col("p_partkey")
+    name, size = F.concat(F.lit("f"), k.cast("string")).alias("filename"), F.col("p_size").cast("long")
+    expected = p.select(F.col("p_brand").alias("repo"), name, k.alias("ord"), size.alias("size"), F.lit("a").alias("sha256"))
+    found = p.where("p_partkey % 50 <> 0").select(F.col("p_brand").alias("repo"), name, F.when(k % 70 == 0, size + 1).otherwise(size).alias("size"), F.when(k % 26 == 0, "b").otherwise("a").alias("sha256"))
+    return FS.first_faults(expected, found)
+
+
+@query("src10_partial_downloads", f"SELECT replace(filename, '.part', '') AS filename, max(size) / 1048576 AS size_mb FROM (SELECT 'm' || p_size || '.gguf.part' AS filename, p_partkey * 100000 AS size FROM part) GROUP BY 1")
+def src10_partial(spark, d):
+    p = table(spark, d, "part").select(F.concat(F.lit("m"), F.col("p_size").cast("string"), F.lit(".gguf.part")).alias("filename"), (F.col("p_partkey") * 100000).alias("size"))
+    return FS.partial_downloads(p)
+
+
+@query("set6_ordered_shards", f"SELECT repo, string_agg(filename, ',' ORDER BY CASE WHEN filename = 'model.gguf' THEN -1 ELSE regexp_extract(filename, '(\\d+)$', 1)::BIGINT END, filename) AS filenames FROM ({LISTING}) GROUP BY 1")
+def set6(spark, d):
+    return FS.ordered_shards(listing(spark, d)).select("repo", F.array_join("filenames", ",").alias("filenames"))
+
+
+@query(
+    "snk4_report_pages",
+    f"WITH r AS (SELECT run_id, string_agg(clean, chr(10) ORDER BY output_id) AS t FROM ({CLEAN}) WHERE clean <> '' GROUP BY 1), l AS (SELECT run_id, string_split(regexp_replace(replace(t, chr(13) || chr(10), chr(10)), chr(10) || '$', ''), chr(10)) AS l FROM r) "
+    "SELECT run_id, i::INT AS page_no, CASE WHEN i = 0 THEN 'Analysis Results' ELSE 'Analysis Results (continued)' END AS title, array_to_string(list_slice(l, i * 55 + 1, i * 55 + 55), chr(10)) AS page FROM l, LATERAL (SELECT unnest(range(0, ceil(len(l) / 55)::INT)) AS i)",
+)
+def snk4(spark, d):
+    rows = R.cleaned(table(spark, d, "model_outputs")).groupBy("run_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("output_id", "clean"))), lambda x: x["clean"]), "\n").alias("text"))
+    return R.report_pages(rows, ["run_id"])
+
+
+@query(
+    "snk6_attachments",
+    "SELECT book_id AS doc, text AS content FROM (SELECT book_id, text, row_number() OVER (PARTITION BY book_id ORDER BY chunk_id) AS r FROM (SELECT DISTINCT ON (book_id, chunk_id) * FROM chunks ORDER BY book_id, chunk_id, text) WHERE chunk_id % 2 = 1) WHERE r = 1",
+)
+def snk6(spark, d):
+    """The first attachment of a name, after more were attached."""
+    rows = table(spark, d, "chunks").groupBy("book_id", "chunk_id").agg(F.min("text").alias("content"))
+    rows = rows.select(F.col("book_id").alias("doc"), F.col("chunk_id").alias("ord"), F.when(F.col("chunk_id") % 2 == 1, "odd").otherwise("even").alias("name"), "content")
+    return sinks.attachments(sinks.attach(rows, rows.where("name = 'odd'").withColumn("content", F.lit("later"))), "odd")
+
+
+@query("snk1_2_3_written", f"SELECT 'outputs' AS what, count(*) AS n FROM {OUTPUTS} UNION ALL SELECT 'prompts', count(*) FROM {OUTPUTS} UNION ALL SELECT 'logs', count(*) FROM {OUTPUTS} UNION ALL SELECT 'manifests', count(*) FROM {DISTINCT} UNION ALL SELECT 'chapters', count(*) FROM (SELECT DISTINCT book_id, chapter_id FROM chapters)")
+def snk1(spark, d):
+    """Chapters, prompts, outputs, logs and manifests written out and read back."""
+    folder = f"{shared_dir(spark)}/written-{uuid.uuid4().hex}"
+    rows = outputs(spark, d).select("output_id", "model_name", "text")
+    sinks.write_chapters(table(spark, d, "chapters").dropDuplicates(["book_id", "chapter_id"]), f"{folder}/chapters")
+    sinks.write_runs(rows, rows, rows.drop("text"), f"{folder}/runs")
+    sinks.write_manifests(manifests(spark, d), f"{folder}/manifests")
+    parts = [(n, spark.read.parquet(f"{folder}/{p}")) for n, p in (("chapters", "chapters"), ("outputs", "runs/outputs"), ("prompts", "runs/prompts"), ("logs", "runs/logs"))]
+    parts.append(("manifests", spark.read.json(f"{folder}/manifests")))
+    counted = [x.agg(F.count(F.lit(1)).alias("n")).select(F.lit(n).alias("what"), "n") for n, x in parts]
+    return reduce(lambda a, b: a.unionByName(b), counted)

@@ -197,6 +197,11 @@ def txt21(spark, d):
     return back.select("doc_id", "v.n_chars", "v.text")
 
 
+@query("txt21_pretty_json", """SELECT event_id, '{' || chr(10) || '  "event_id": ' || event_id || ',' || chr(10) || '  "event_type": "' || event_type || '"' || chr(10) || '}' AS j FROM events""")
+def txt21_pretty(spark, d):
+    return table(spark, d, "events").select("event_id", T.pretty_json(F.struct("event_id", "event_type")).alias("j"))
+
+
 @query("txt22_times", "SELECT event_id, strftime(ts, '%Y-%m-%dT%H:%M:%SZ') AS iso, strftime(ts, 'Run_%Y-%m-%d_%H-%M-%S') AS run FROM events")
 def txt22(spark, d):
     return table(spark, d, "events").select("event_id", T.iso8601("ts").alias("iso"), T.run_id("ts").alias("run"))

@@ -18,6 +18,12 @@ def write_outputs(outputs: DataFrame, path: str) -> None:
     outputs.write.mode("overwrite").partitionBy("model_name").parquet(path)
 
 
+def write_runs(prompts: DataFrame, outputs: DataFrame, logs: DataFrame, path: str) -> None:
+    """SNK-2: prompts, outputs and logs of runs, each in folders by model."""
+    for name, rows in (("prompts", prompts), ("outputs", outputs), ("logs", logs)):
+        write_outputs(rows, f"{path}/{name}")
+
+
 def write_manifests(manifests: DataFrame, path: str) -> None:
     """SNK-3: manifests as JSON lines."""
     manifests.write.mode("overwrite").json(path)
@@ -44,6 +50,14 @@ def download_percent(written: Column, total: Column) -> Column:
     return F.floor(F.coalesce(F.try_divide(written, total), F.lit(0.0)) * 1000 + 0.5) / 10
 
 
+def attach(rows: DataFrame, more: DataFrame) -> DataFrame:
+    """SNK-6: attachments with more of them, whose ord goes on behind that of their document; an earlier one of a name is
+    kept and comes first."""
+    last = rows.groupBy("doc").agg(F.max("ord").alias("__last"))
+    moved = more.join(last, "doc", "left").withColumn("ord", F.col("ord") + 1 + F.coalesce("__last", F.lit(-1)))
+    return rows.select("doc", "ord", "name", "content").unionByName(moved.select("doc", "ord", "name", "content"))
+
+
 def attachments(rows: DataFrame, name: str) -> DataFrame:
     """SNK-6, SRC-9: the first attachment of a name per document (doc, ord, name, content)."""
     return rows.where(F.col("name") == name).groupBy("doc").agg(F.min_by("content", "ord").alias("content"))
