@@ -77,11 +77,6 @@ def looks_sane(c: Column | str) -> Column:
     return (F.length(col(c)) < SHORT_CHARS) | (_window_sane(a) & _window_sane(b) & _window_sane(d))
 
 
-def sane_windows(n: Column, a: Column, b: Column, d: Column) -> Column:
-    """The same of windows already cut, n being the length of the text."""
-    return (n < SHORT_CHARS) | (_window_sane(a) & _window_sane(b) & _window_sane(d))
-
-
 GRAPHIC = "".join(map(chr, range(0x21, 0x7F)))
 
 
