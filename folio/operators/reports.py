@@ -14,7 +14,7 @@ NOTHING = "Run complete. No inference output was produced."
 
 def cleaned(outputs: DataFrame) -> DataFrame:
     """FLT-6: distinct outputs with their text without tool noise, where anything is left."""
-    rows = spread(first_rows(outputs, ["output_id"]))
+    rows = spread(first_rows(outputs, ["output_id"]), outputs)
     # exploding the text where there is any filters without working it out twice
     clean = F.explode(F.filter(F.array(trim_all(strip_noise("text"))), lambda x: x != "")).alias("clean")
     return rows.select("output_id", "run_id", "book_id", "model_name", "chunk_idx", clean)

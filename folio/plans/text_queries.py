@@ -59,7 +59,8 @@ NOISY = "'Loading model' || chr(10) || chr(10) || 'build: 4' || chr(10) || text
 
 
 def outputs(spark, d):
-    return spread(first_rows(table(spark, d, "model_outputs"), ["output_id"]))
+    rows = table(spark, d, "model_outputs")
+    return spread(first_rows(rows, ["output_id"]), rows)
 
 
 def docs(spark, d):

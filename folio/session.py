@@ -38,11 +38,15 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
-def spread(df: DataFrame) -> DataFrame:
+def spread(df: DataFrame, scan: DataFrame | None = None) -> DataFrame:
     """A scan of fewer parts than half the cores, spread over all of them before work on its texts. Such a table is a few
-    small files; larger ones, which have parts enough, stay as they are."""
+    small files; larger ones, which have parts enough, stay as they are, and so does what was shuffled (whose parts could
+    be counted only by running it). scan: what df was made of by maps and filters, where df itself holds joins."""
+    given = df if scan is None else scan
+    if "Exchange" in given._jdf.queryExecution().executedPlan().toString():
+        return df
     cores = df.sparkSession.sparkContext.defaultParallelism
-    return df.repartition(cores) if 2 * df.rdd.getNumPartitions() <= cores else df
+    return df.repartition(cores) if 2 * given.rdd.getNumPartitions() <= cores else df
 
 
 #: Keys that occur more than once are broadcast up to so many.
