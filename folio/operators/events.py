@@ -175,7 +175,7 @@ def chapter_percent(model: Column, models: Column, chapter: Column, chapters: Co
     return model_percent(model, models) + CHAPTERS_FROM + (chapter + 1) / chapters * CHAPTERS_SHARE / models
 
 
-def log_error(ts: Column, error: Column, error_class: Column, action: Column) -> Column:
+def error_record(ts: Column, error: Column, error_class: Column, action: Column) -> Column:
     """SNK-11: the record of an error in the error log."""
     return F.concat(F.lit("["), ts, F.lit("]\nERROR_CLASS: "), error_class, F.lit("\nERROR_TYPE: "), error, F.lit("\nACTION: "), action, F.lit("\n"))
 

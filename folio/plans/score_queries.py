@@ -487,7 +487,7 @@ def per5(spark, d):
 )
 def snk11(spark, d):
     kind = kind_of(F.col("event_id"))
-    return table(spark, d, "events").select("event_id", E.log_error(iso8601("ts"), kind, E.error_class(kind), F.lit("Retry")).alias("record"))
+    return table(spark, d, "events").select("event_id", E.error_record(iso8601("ts"), kind, E.error_class(kind), F.lit("Retry")).alias("record"))
 
 
 @query(
