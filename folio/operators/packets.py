@@ -25,23 +25,21 @@ def violation(packets: DataFrame, keep: list[str] | None = None) -> DataFrame:
     """FLT-1: packet_id and the first rule of validity that a packet breaks; null if it is valid. The wordings are fixed
     values."""
     rules = F.coalesce("rules", F.array().cast(packets.schema["rules"].dataType))
-    ids = F.transform(rules, lambda r: r["rule_id"])
+    # the distinct ids in order of their first rules agree with the ids up to the first repeated one, and differ there; what
+    # follows it doesn't count. So each id is looked up once, instead of a comparison with all earlier ones
+    distinct = F.array_distinct(F.transform(rules, lambda r: r["rule_id"]))
+    head = F.concat(F.lit("packet "), F.col("packet_id").cast("string"))
 
-    def of_rule(r: Column, i: Column) -> Column:
-        head = F.concat(F.lit("packet "), F.col("packet_id").cast("string"))
-        earlier = F.array_contains(F.slice(ids, F.lit(1), i), r["rule_id"])
+    def of_rule(r: Column, new: Column) -> Column:
         return (
             F.when(F.coalesce(r["rule_id"], F.lit("")) == "", F.concat(head, F.lit(" has a rule with empty rule_id")))
-            .when((i > 0) & earlier, F.concat(head, F.lit(" has duplicate rule_id: "), r["rule_id"]))
+            .when(~r["rule_id"].eqNullSafe(new), F.concat(head, F.lit(" has duplicate rule_id: "), r["rule_id"]))
             .when(F.coalesce(F.size(r["patterns"]), F.lit(0)) <= 0, F.concat(head, F.lit(" rule "), r["rule_id"], F.lit(" has no patterns")))
         )
 
-    first = F.get(F.filter(F.transform(rules, of_rule), lambda x: x.isNotNull()), F.lit(0))
-    head = F.concat(F.lit("packet "), F.col("packet_id").cast("string"))
-    reason = (
-        F.when(F.size(rules) == 0, F.concat(head, F.lit(" has no rules")))
-        .when(first.isNotNull(), first)
-        .when(F.coalesce(F.col("confidence_weight"), F.lit(0.0)) <= 0, F.concat(head, F.lit(" has non-positive confidence_weight")))
+    first = F.get(F.filter(F.zip_with(rules, distinct, of_rule), lambda x: x.isNotNull()), F.lit(0))
+    reason = F.when(F.size(rules) == 0, F.concat(head, F.lit(" has no rules"))).otherwise(
+        F.coalesce(first, F.when(F.coalesce(F.col("confidence_weight"), F.lit(0.0)) <= 0, F.concat(head, F.lit(" has non-positive confidence_weight"))))
     )
     return packets.select(*(keep or []), "packet_id", reason.alias("violation"))
 

@@ -1,7 +1,9 @@
 """Operators against plain reference computations and on edge cases: nulls, empty and long texts, ties, no rows."""
 
 import random
+import re
 import struct
+import time
 
 import pytest
 from pyspark.sql import functions as F
@@ -201,6 +203,43 @@ def test_packets(spark, tmp_path):
     assert K.prompt(good.limit(0)).first()["prompt"] == ""
 
 
+RULES = "packet_id int, rules array<struct<rule_id: string, patterns: array<string>>>, confidence_weight double"
+
+
+def test_violations(spark):
+    """The first fault of a packet is the one that a loop over its rules finds, with nulls, empty arrays and repeated ids."""
+
+    def fault(pid, rules, weight):
+        seen = set()
+        for rule in rules or []:
+            i, patterns = rule or (None, None)
+            if not i:
+                return f"packet {pid} has a rule with empty rule_id"
+            if i in seen:
+                return f"packet {pid} has duplicate rule_id: {i}"
+            if not patterns:
+                return f"packet {pid} rule {i} has no patterns"
+            seen.add(i)
+        return f"packet {pid} has no rules" if not rules else None if (weight or 0) > 0 else f"packet {pid} has non-positive confidence_weight"
+
+    draw = random.Random(4)
+    rule = lambda: None if draw.random() < 0.03 else (draw.choice(["A", "B", "C", "D", "E", "a", "A "] * 2 + ["", None]), draw.choice([["p"]] * 8 + [["p", "q"], [], None]))
+    rows = [(n, None if draw.random() < 0.03 else [rule() for _ in range(draw.randrange(7))], draw.choice([1.0, 1.0, 0.5, 0.0, -1.0, None])) for n in range(2000)]
+    found = {r["packet_id"]: r["violation"] for r in K.violation(spark.createDataFrame(rows, RULES)).collect()}
+    assert found == {r[0]: fault(*r) for r in rows}
+    assert len({re.sub("[0-9]+", "", str(v)) for v in found.values()}) > 10
+
+
+def test_violations_of_many_rules(spark):
+    """Packets of 20,000 rules: one that is valid, one whose last rule repeats the first. Comparing each rule with all before
+    it takes minutes, looking it up once takes a second."""
+    ids = F.transform(F.sequence(F.lit(1), F.lit(20_000)), lambda i: F.struct(F.when((F.col("id") == 2) & (i == 20_000), 1).otherwise(i).cast("string").alias("rule_id"), F.array(F.lit("p")).alias("patterns")))
+    packets = spark.range(1, 3).select(F.col("id").cast("int").alias("packet_id"), ids.alias("rules"), F.lit(1.0).alias("confidence_weight"))
+    began = time.time()
+    assert sorted(map(tuple, K.violation(packets).collect())) == [(1, None), (2, "packet 2 has duplicate rule_id: 1")]
+    assert time.time() - began < 30
+
+
 def test_manifest_round_trip(spark):
     row = spark.range(1).select(F.struct(F.lit("Run_1").alias("run_id"), F.lit("1.0").alias("manifest_version")).alias("m"))
     info = row.select(sinks.embedded(F.col("m")).alias("i"))
