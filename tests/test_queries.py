@@ -3,6 +3,7 @@
 import json
 import os
 import re
+import time
 from importlib import resources
 
 import duckdb
@@ -260,3 +261,19 @@ def test_matches_brute_force(spark, con, name):
 
 def test_entry(spark):
     assert registry.entry(spark, DATA).columns == ["category", "model_name", "margin", "wins", "stable"]
+
+
+def test_missing_packets_of_many_rules(spark, tmp_path):
+    """Packets of 15,000 rules, valid but for the last one: a repeated id (40), no patterns (80), an empty id (100); 60 weighs
+    nothing. Comparing each rule with all before it takes minutes."""
+    n = 15_000
+    keys = [k for k in range(1, 200_000) if k % 97 and k % 89]
+    part = [(k, f"B{k}", 1 + i // n) for i, k in enumerate(keys[: 5 * n])]
+    part += [(next(k for k in keys if k > 100_000 and k % 50 == keys[n] % 50), f"B{keys[n]}", 2), (89 * 2000, "last", 4), (97 * 2000, "last", 5)]
+    pd.DataFrame([(k, "name", b, "type", s) for k, b, s in part], columns=["p_partkey", "p_name", "p_brand", "p_type", "p_size"]).to_parquet(tmp_path / "part.parquet")
+    con = duckdb.connect()
+    con.sql(f"create view part as select * from '{tmp_path}/part.parquet'")
+    began = time.time()
+    found = rows(registry.queries()["jon4_missing_packets"](spark, str(tmp_path)).toPandas())
+    assert time.time() - began < 30
+    assert found == rows(con.sql(registry.oracle_sql()["jon4_missing_packets"]).df()) == (["packet_id"], [(100,), (40,), (60,), (80,)])
