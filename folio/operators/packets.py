@@ -44,9 +44,23 @@ def violation(packets: DataFrame, keep: list[str] | None = None) -> DataFrame:
     return packets.select(*(keep or []), "packet_id", reason.alias("violation"))
 
 
+def valid(rules: DataFrame) -> DataFrame:
+    """FLT-1 without its wordings, over packets that are rows of rules: packet_id of the valid ones.
+
+    rules: packet_id, confidence_weight (of the packet), rule_id, patterns; a packet without rules is one row of nulls. No
+    packet is gathered into a row: the rules of an id are counted, so a packet can be of any size."""
+    per_id = rules.groupBy("packet_id", F.coalesce("rule_id", F.lit("")).alias("rule_id")).agg(
+        F.count(F.lit(1)).alias("n"), F.min(F.coalesce(F.size("patterns"), F.lit(0))).alias("patterns"), F.min(F.coalesce("confidence_weight", F.lit(0.0))).alias("weight")
+    )
+    sound = (F.col("rule_id") != "") & (F.col("n") == 1) & (F.col("patterns") > 0) & (F.col("weight") > 0)
+    return per_id.groupBy("packet_id").agg(F.bool_and(sound).alias("sound")).where("sound").select("packet_id")
+
+
 def missing_packets(expected: DataFrame, loaded: DataFrame) -> DataFrame:
-    """JON-4: packet_id of the packets that are expected but weren't loaded. If nothing could be loaded, all of them."""
-    return expected.select("packet_id").distinct().join(loaded.select("packet_id"), "packet_id", "left_anti")
+    """JON-4: packet_id of the packets that are expected but weren't loaded (null is an id). If nothing could be loaded, all
+    of them."""
+    there = loaded.select(F.col("packet_id").alias("__there"))
+    return expected.select("packet_id").distinct().join(there, F.col("packet_id").eqNullSafe(F.col("__there")), "left_anti")
 
 
 def usable(loaded: DataFrame) -> tuple[DataFrame, DataFrame]:

@@ -230,6 +230,21 @@ def test_violations(spark):
     assert len({re.sub("[0-9]+", "", str(v)) for v in found.values()}) > 10
 
 
+def test_valid_packets_as_rows(spark):
+    """Packets as rows of rules: the valid ones are those without a violation; a null is a packet's id too."""
+    draw = random.Random(5)
+    rule = lambda: None if draw.random() < 0.02 else (draw.choice(["A", "B", "C", "D", "E", "a", "A "] * 4 + ["", None]), draw.choice([["p"]] * 16 + [["p", "q"], [], None]))
+    rows = [(n, None if draw.random() < 0.03 else [rule() for _ in range(draw.randrange(7))], draw.choice([1.0, 1.0, 0.5, 0.0, -1.0, None])) for n in range(2000)]
+    packets = spark.createDataFrame(rows, RULES)
+    want = sorted(r["packet_id"] for r in K.violation(packets).where("violation is null").collect())
+    flat = packets.select("packet_id", "confidence_weight", F.explode_outer("rules").alias("r")).select("packet_id", "confidence_weight", "r.rule_id", "r.patterns")
+    assert sorted(r["packet_id"] for r in K.valid(flat).collect()) == want and 200 < len(want) < 1800
+    two = [(None, "A", 1.0), (None, "B", 1.0), (1, "A", 0.0)]
+    mixed = spark.createDataFrame(two, "packet_id int, rule_id string, confidence_weight double").withColumn("patterns", F.array(F.lit("p")))
+    assert [r["packet_id"] for r in K.missing_packets(mixed, K.valid(mixed)).collect()] == [1]
+    assert K.valid(mixed.limit(0)).count() == 0
+
+
 def test_violations_of_many_rules(spark):
     """Packets of 20,000 rules: one that is valid, one whose last rule repeats the first. Comparing each rule with all before
     it takes minutes, looking it up once takes a second."""

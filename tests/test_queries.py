@@ -277,3 +277,18 @@ def test_missing_packets_of_many_rules(spark, tmp_path):
     found = rows(registry.queries()["jon4_missing_packets"](spark, str(tmp_path)).toPandas())
     assert time.time() - began < 30
     assert found == rows(con.sql(registry.oracle_sql()["jon4_missing_packets"]).df()) == (["packet_id"], [(100,), (40,), (60,), (80,)])
+
+
+def test_missing_packets_are_not_gathered(spark, tmp_path):
+    """No packet is held as a row with all its rules, and a packet without an id is like any other: valid here, and invalid
+    with one more rule without patterns."""
+    query, sql = registry.queries()["jon4_missing_packets"], registry.oracle_sql()["jon4_missing_packets"]
+    assert "collect_list" not in query(spark, DATA)._jdf.queryExecution().optimizedPlan().toString()
+    part = [(1, "n", "B1", "t", None), (2, "n", "B2", "t", None), (3, "n", "B3", "t", 1), (194, "n", "B4", "t", 2)]
+    for k, more in enumerate([[], [(89, "n", "B5", "t", None)]]):
+        table = pd.DataFrame(part + more, columns=["p_partkey", "p_name", "p_brand", "p_type", "p_size"]).astype({"p_size": "Int32"})
+        (tmp_path / str(k)).mkdir()
+        table.to_parquet(tmp_path / str(k) / "part.parquet")
+        own = duckdb.connect()
+        own.sql(f"create view part as select * from '{tmp_path}/{k}/part.parquet'")
+        assert rows(query(spark, str(tmp_path / str(k))).toPandas()) == rows(own.sql(sql).df()) == (["packet_id"], [(40,)] + [(None,)] * k)
